@@ -44,7 +44,7 @@ class Params:
     buckets: int = 1 << 18
     lists: int = 4
     least_docs: int = 4
-    purity: float = 0.95
+    purity: float = 0.92
     em_rounds: int = 60
     epochs: int = 6
     seed: int = 11
@@ -161,12 +161,13 @@ def quality_votes(f: np.ndarray, has: np.ndarray) -> np.ndarray:
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of the positive class per pattern, accuracy table): two classes, votes independent given the class.
 
-    Starts from the majority of votes, so the classes keep their meaning.
+    Rare votes start as the weightier ones (``prior`` says which class is common), so the classes keep their meaning.
     """
     n, m = patterns.shape
-    good, bad = (patterns == 1).sum(axis=1), (patterns == 0).sum(axis=1)
-    post = np.where(good + bad == 0, prior, (good + prior) / (good + bad + 1))
-    post = np.where(bad > 0, np.minimum(post, 0.9), post)
+    common = 1 if prior >= 0.5 else 0
+    against = (patterns == 1 - common).sum(axis=1)
+    rare = np.where(against >= 2, 0.95, np.where(against == 1, 0.5, 0.05))
+    post = 1 - rare if common else rare
     table = np.zeros((2, m, 3))
     for _ in range(rounds):
         pi = np.clip((counts * post).sum() / max(counts.sum(), 1), 1e-3, 1 - 1e-3)
