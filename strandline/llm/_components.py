@@ -31,12 +31,10 @@ def components(edges: DataFrame, store: Store, rounds: int = 50) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b): the smallest id that its links reach."""
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = store.save(e, "edges")
-    seen = None
     for _ in range(rounds):
-        # a forest of stars: every larger end has one smaller end, and no smaller end is anyone's larger end
-        state = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state["n"] == 0 or (state["n"], state["h"]) == seen:
+        # done when it is a forest of stars: every larger end has one smaller end, which has none itself
+        ends = e.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        if not ends.filter("n > 1").limit(1).count() and not e.join(ends.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
             break
-        seen = (state["n"], state["h"])
         e = store.save(_stars(_stars(e, True), False), "stars")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

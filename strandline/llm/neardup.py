@@ -6,9 +6,9 @@ A document's set holds its distinct 4-word shingles. Two small collections of mi
 m = 12 and r = 3 (72 minhashes, 144 tables) a pair at similarity 0.8 is missed with a chance of 0.0004.
 
 Equal sets are one class from the start. Only classes that share a group value on both sides form table keys
-(the others cannot meet in any table). Buckets never emit all pairs: rounds compare members with one leader
-per bucket and skip what is already linked; when few comparisons are left they are done exhaustively, so every
-candidate pair whose ends are not yet in one component is checked. Checks are exact, on whole sets.
+(the others cannot meet in any table). Buckets never emit all pairs: members are compared with the smallest one of
+their bucket; where a bucket's members are then not in one component, the open members are compared block against
+block, so every candidate pair whose ends are not yet in one component is checked. Checks are exact, on whole sets.
 
 Defined results: a NULL doc_id keeps NULL as its component and links with nothing; a null or word-less text has an empty set and links with nothing; fewer than four words make
 one shingle of the whole sequence; repeated documents link; extra columns are ignored.
@@ -33,16 +33,15 @@ from ._text import U, Words, buffers, mix, runs, sequences, signed, to_list
 @dataclass(frozen=True)
 class Params:
     """``words`` per shingle, similarity ``percent``, ``groups`` per side of ``rows`` minhashes, ``seed``;
-    ``star_rounds``: leader rounds at most before the rest is compared exhaustively;
-    ``spread``: members of one leader that one task compares."""
+    ``spread``: members of one leader that one task compares; ``block``: members of a block of open ones."""
 
     words: int = 4
     percent: int = 80
     groups: int = 12
     rows: int = 3
     seed: int = 7
-    star_rounds: int = 6
     spread: int = 2000
+    block: int = 256
 
 
 def shingle_sets(batch_text, words: int) -> Iterator[np.ndarray]:
@@ -125,23 +124,12 @@ def bucket_members(keys: DataFrame, store: Store) -> DataFrame:
     return out
 
 
-def verify(docs: DataFrame, pairs: DataFrame, p: Params, store: Store) -> DataFrame:
-    """Of distinct (rep, leader) pairs those whose sets are similar enough, as (a, b).
-
-    Each set travels once to each leader that it meets; a leader with many members is dealt to several tasks,
-    its own set to each. A task streams its rows: it holds one leader's set and one member's at a time.
-    """
-    pairs = store.save(pairs, "pairs")
-    load = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / p.spread).cast("int").alias("parts"))
-    placed = pairs.join(load, "leader").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    own = load.select(F.col("leader").alias("rep"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    todo = placed.select("rep", "leader", "part").union(own)
-    todo = store.save(todo.groupBy("rep").agg(F.collect_list(F.struct("leader", "part")).alias("to")), "todo")
+def send_sets(docs: DataFrame, todo: DataFrame, p: Params, store: Store) -> DataFrame:
+    """(leader, part, rep, s): the set of each class ``rep`` once for each of its destinations ``to``."""
+    todo = store.save(todo, "todo")
     shape = todo.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("to")).alias("m")).first()
-    if not shape["n"]:
-        return pairs.select(F.col("rep").alias("a"), F.col("leader").alias("b"))
-    side = small(todo.withColumnRenamed("rep", "doc_id"), 1, shape["n"] * 60 + (shape["m"] or 0) * 32)
-    words, percent = p.words, p.percent
+    side = small(todo.withColumnRenamed("rep", "doc_id"), 1, (shape["n"] or 0) * 60 + (shape["m"] or 0) * 32)
+    words = p.words
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,13 +139,30 @@ def verify(docs: DataFrame, pairs: DataFrame, p: Params, store: Store) -> DataFr
             flat = to.flatten()
             rows = np.repeat(np.arange(len(b)), lens)
             ids = b.column("doc_id").to_numpy()
-            for a in range(0, len(rows), 512):  # a set may go to several leaders: bounded output batches
+            for a in range(0, len(rows), 512):  # a set may go to several places: bounded output batches
                 r = rows[a : a + 512]
                 yield pa.RecordBatch.from_arrays(
                     [flat.field(0)[a : a + 512], flat.field(1)[a : a + 512], pa.array(ids[r]), to_list(signed(np.concatenate([sets[k] for k in r])), np.array([len(sets[k]) for k in r]), pa.int64())],
                     names=["leader", "part", "rep", "s"],
                 )
 
+    return docs.select("doc_id", "text").join(side, "doc_id").mapInArrow(spread, "leader long, part int, rep long, s array<long>")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, p: Params, store: Store) -> DataFrame:
+    """Of distinct (rep, leader) pairs those whose sets are similar enough, as (a, b).
+
+    Each set travels once to each leader that it meets; a leader with many members is dealt to several tasks,
+    its own set to each. A task streams its rows: it holds one leader's set and one member's at a time.
+    """
+    pairs = store.save(pairs, "pairs")
+    load = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / p.spread).cast("int").alias("parts"))
+    placed = pairs.join(load, "leader").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    own = load.select(F.col("leader").alias("rep"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    todo = placed.select("rep", "leader", "part").union(own)
+    todo = todo.groupBy("rep").agg(F.collect_list(F.struct("leader", "part")).alias("to"))
+    percent = p.percent
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own_set = None, None
         for b in batches:
@@ -178,41 +183,90 @@ def verify(docs: DataFrame, pairs: DataFrame, p: Params, store: Store) -> DataFr
                 o = np.array(out, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(o[:, 0].copy()), pa.array(o[:, 1].copy())], names=["a", "b"])
 
-    sent = docs.select("doc_id", "text").join(side, "doc_id").mapInArrow(spread, "leader long, part int, rep long, s array<long>")
-    sent = sent.repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("rep") != F.col("leader"), "rep")
+    sent = send_sets(docs, todo, p, store).repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("rep") != F.col("leader"), "rep")
+    return store.save(sent.mapInArrow(compare, "a long, b long"), "links")
+
+
+def block_links(docs: DataFrame, rest: DataFrame, p: Params, store: Store) -> DataFrame:
+    """(a, b) links among members (bucket, rep) of buckets that are still open, block against block.
+
+    Members are cut into blocks of about ``block``, members of one bucket side by side; two blocks meet if an open
+    bucket has members in both. All pairs of two blocks are counted at once by matrix products over their shingles,
+    and only a spanning set of links leaves the task.
+    """
+    home = rest.groupBy("rep").agg(F.min("bucket").alias("home"))
+    n = home.count()
+    blocks = max(1, -(-n // p.block))
+    home = home.withColumn("b", F.pmod(F.xxhash64("home"), F.lit(blocks)))
+    load = home.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("long").alias("cut"))
+    home = home.join(load, "b").select("rep", (F.col("b") * 65536 + F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cut"))).alias("b"))
+    home = store.save(home, "blocks")
+    seats = store.save(rest.join(home, "rep").select("bucket", "b").distinct(), "seats")
+    other = seats.withColumnRenamed("b", "c")
+    meet = seats.join(other, "bucket").filter("b <= c").select("b", "c").distinct().withColumn("leader", F.xxhash64("b", "c"))
+    sides = meet.select("leader", "b").union(meet.select("leader", F.col("c").alias("b"))).distinct()
+    todo = home.join(sides, "b").groupBy("rep").agg(F.collect_list(F.struct("leader", F.lit(0).alias("part"))).alias("to"))
+    percent = p.percent
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def links():
+            ids = np.array([r for r, _ in held])
+            size = np.array([len(x) for _, x in held])
+            col = np.unique(np.concatenate([x for _, x in held]), return_inverse=True)[1]
+            row = np.repeat(np.arange(len(ids)), size)
+            order = np.argsort(col, kind="stable")
+            col, row = col[order], row[order]
+            both = np.zeros((len(ids), len(ids)), np.float32)
+            edge = np.searchsorted(col, np.arange(0, (col[-1] if len(col) else 0) + 4097, 4096))
+            for k in range(len(edge) - 1):
+                m = np.zeros((len(ids), 4096), np.float32)
+                m[row[edge[k] : edge[k + 1]], col[edge[k] : edge[k + 1]] - 4096 * k] = 1
+                both += m @ m.T
+            union = size[:, None] + size[None, :] - both
+            near = np.argwhere(np.triu(100 * both >= percent * union, 1))
+            root = np.arange(len(ids))
+            out = []
+            for i, j in near.tolist():
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                while root[j] != j:
+                    root[j] = j = root[root[j]]
+                if i != j:
+                    root[max(i, j)] = min(i, j)
+                    out.append((ids[i], ids[j]))
+            o = np.array(out, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(o[:, 0].copy()), pa.array(o[:, 1].copy())], names=["a", "b"])
+
+        for b in batches:
+            leaders, reps, s = b.column("leader").to_numpy(), b.column("rep").to_numpy(), b.column("s")
+            off, flat = s.offsets.to_numpy(), s.values.to_numpy().view(np.uint64)
+            for k in range(len(b)):
+                if leaders[k] != at:
+                    if held:
+                        yield links()
+                    held, at = [], leaders[k]
+                held.append((reps[k], flat[off[k] : off[k + 1]].copy()))
+        if held:
+            yield links()
+
+    sent = send_sets(docs, todo, p, store).repartition("leader").sortWithinPartitions("leader", "rep")
     return store.save(sent.mapInArrow(compare, "a long, b long"), "links")
 
 
 def link_classes(docs: DataFrame, members: DataFrame, p: Params, store: Store) -> DataFrame:
     """(a, b) links that connect every pair of candidate classes that is similar enough, directly or by others."""
-    state = members.withColumn("comp", F.col("rep")).withColumn("done", F.lit(False))
-    links = None
-    for k in range(p.star_rounds + 1):
-        # of a bucket, what is not in one component yet is still open
-        g = state.groupBy("bucket").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"),
-            F.min_by("rep", F.struct("done", F.xxhash64("rep", F.lit(k)) if k else F.col("rep"))).alias("leader"), F.min("done").alias("used"),
-        ).filter("lo <> hi and not used")
-        state = store.save(state.join(g.select("bucket", "leader", "n"), "bucket"), "open")
-        left = state.groupBy("bucket").agg(F.first("n").alias("n"), F.first("leader").alias("l")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("all"), F.sum("n").alias("rows")).first()
-        if not left["rows"]:
-            break
-        last = k == p.star_rounds or (k > 0 and left["all"] <= 4 * left["rows"])
-        if last:
-            o = state.select("bucket", F.col("rep").alias("leader"), F.col("comp").alias("lcomp"))
-            todo = state.drop("leader").join(o, "bucket").filter("rep > leader and comp <> lcomp")
-        else:
-            lead = state.filter("rep = leader").select("bucket", F.col("comp").alias("lcomp"))
-            todo = state.join(lead, "bucket").filter("rep <> leader and comp <> lcomp")
-        found = verify(docs, todo.select("rep", "leader").distinct(), p, store)
-        links = found if links is None else links.union(found)
-        if last:
-            break
-        comp = components(links, store)
-        state = state.withColumn("done", F.col("done") | (F.col("rep") == F.col("leader"))).drop("leader", "n", "comp")
-        state = state.join(comp.withColumnRenamed("id", "rep").withColumnRenamed("component", "comp"), "rep", "left")
-        state = store.save(state.select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"), "done"), "state")
-    return links if links is not None else members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    # first every bucket's members against its smallest one
+    low = members.groupBy("bucket").agg(F.min("rep").alias("leader"))
+    star = store.save(members.join(low, "bucket").filter("rep <> leader"), "star")
+    links = verify(docs, star.select("rep", "leader").distinct(), p, store)
+    # what is left open lies among the others, where they are not in one component yet
+    comp = components(links, store).withColumnRenamed("id", "rep").withColumnRenamed("component", "comp")
+    state = store.save(star.select("bucket", "rep").join(comp, "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp")), "state")
+    open_ = state.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+    rest = store.save(state.join(open_, "bucket", "left_semi").select("bucket", "rep"), "rest")
+    return links.union(block_links(docs, rest, p, store)) if rest.limit(1).count() else links
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
