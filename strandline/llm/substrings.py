@@ -309,8 +309,8 @@ def repeated_spans(docs: DataFrame, p: Params, store: Store) -> DataFrame:
     is_ref = F.col("doc_id") == F.col("owner")
     item = F.struct("pos", "shard", F.when(is_ref, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int").alias("part"), F.when(is_ref, F.col("parts")).otherwise(0).alias("ref"))
     asked = store.save(found.groupBy("doc_id").agg(F.collect_list(item).alias("at")), "asked")
-    n = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("at")).alias("m")).first()
-    rows = shard_rows(docs, small(asked, 1, (n["n"] or 0) * 50 + (n["m"] or 0) * 16), p)
+    # the lists grow with the corpus: they meet the texts by a shuffle at every size
+    rows = shard_rows(docs, asked, p)
     got = store.save(match(rows, p), "matched")
     left = got.select("doc_id", F.explode(F.arrays_zip("left_at", "left_fp")).alias("x")).select("doc_id", F.col("x.left_at").alias("at"), F.col("x.left_fp").alias("fp"))
     first = left.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("fp", "owner")
@@ -324,7 +324,6 @@ def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text, spans (array of [start, end) in words)."""
     store = Store(docs.sparkSession)
     spans = store.save(repeated_spans(docs, p, store), "spans")
-    n = spans.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("at")).alias("m")).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -356,5 +355,5 @@ def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_text", "spans"],
             )
 
-    x = docs.select("doc_id", "text").join(small(spans, 1, (n["n"] or 0) * 50 + (n["m"] or 0) * 16), "doc_id", "left")
+    x = docs.select("doc_id", "text").join(spans, "doc_id", "left")
     return x.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>")
