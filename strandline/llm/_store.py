@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its estimated size is below this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,9 @@ class Store:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        # texts are long: smaller Arrow batches keep the memory of a task down (a session's own choice stays)
+        if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+            spark.conf.set(ARROW_ROWS, "2000")
         self.root = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
         self.n = 0
 

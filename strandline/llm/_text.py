@@ -2,7 +2,7 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+``; in UTF-8 those separators are single bytes, so byte positions are enough
 and no Python string is made. Hashes are 64-bit polynomial sums over prefix sums, mixed at the end. Texts are
-handled in runs of about a megabyte, so memory follows the longest text and not the batch.
+handled in runs of a quarter megabyte, so memory follows the longest text and not the batch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so they have inverses modulo 2^64
 _SEP = np.zeros(256, bool)

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import Store
 from ._text import U, buffers, mix, runs, sequences, to_list
 
 
@@ -182,7 +183,7 @@ def align(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, pat: np.ndarray, diagon
 
 def find(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per document: doc_id, kept, n_items, item_ids (sorted), best_edits (NULL if clean)."""
-    spark = docs.sparkSession
+    spark = Store(docs.sparkSession).spark
     usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     chars = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-int(chars) // p.shard_chars))

@@ -102,7 +102,7 @@ def train(docs: DataFrame, p: Params, store: Store) -> Model:
                 keys.append(k)
                 counts.append(n)
                 held += len(k)
-                if held > 2_000_000:
+                if held > 600_000:
                     keys, counts = squeeze()
                     held = len(keys[0])
         if names:

@@ -7,8 +7,8 @@ m = 12 and r = 3 (72 minhashes, 144 tables) a pair at similarity 0.8 is missed w
 
 Equal sets are one class from the start. Only classes that share a group value on both sides form table keys
 (the others cannot meet in any table). Buckets never emit all pairs: members are compared with the smallest one of
-their bucket; where a bucket's members are then not in one component, the open members are compared block against
-block, so every candidate pair whose ends are not yet in one component is checked. Checks are exact, on whole sets.
+their bucket; where a bucket's members are then not in one component, the open members are compared in blocks of
+bounded size, so every candidate pair whose ends are not yet in one component is checked. Checks are exact, on whole sets.
 
 Defined results: a NULL doc_id keeps NULL as its component and links with nothing; a null or word-less text has an empty set and links with nothing; fewer than four words make
 one shingle of the whole sequence; repeated documents link; extra columns are ignored.
@@ -41,7 +41,7 @@ class Params:
     rows: int = 3
     seed: int = 7
     spread: int = 2000
-    block: int = 256
+    block: int = 320
 
 
 def shingle_sets(batch_text, words: int) -> Iterator[np.ndarray]:
@@ -188,24 +188,23 @@ def verify(docs: DataFrame, pairs: DataFrame, p: Params, store: Store) -> DataFr
 
 
 def block_links(docs: DataFrame, rest: DataFrame, p: Params, store: Store) -> DataFrame:
-    """(a, b) links among members (bucket, rep) of buckets that are still open, block against block.
+    """(a, b) links among members (bucket, rep) of buckets that are still open.
 
-    Members are cut into blocks of about ``block``, members of one bucket side by side; two blocks meet if an open
-    bucket has members in both. All pairs of two blocks are counted at once by matrix products over their shingles,
-    and only a spanning set of links leaves the task.
+    Open buckets with a member in common are one group. A group of up to ``block`` members is compared in one piece;
+    a larger one is cut into blocks, and every two blocks are a piece. All pairs of a piece are counted at once by
+    matrix products over their shingles, and only a spanning set of links leaves the task.
     """
-    home = rest.groupBy("rep").agg(F.min("bucket").alias("home"))
-    n = home.count()
-    blocks = max(1, -(-n // p.block))
-    home = home.withColumn("b", F.pmod(F.xxhash64("home"), F.lit(blocks)))
-    load = home.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("long").alias("cut"))
-    home = home.join(load, "b").select("rep", (F.col("b") * 65536 + F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cut"))).alias("b"))
-    home = store.save(home, "blocks")
-    seats = store.save(rest.join(home, "rep").select("bucket", "b").distinct(), "seats")
-    other = seats.withColumnRenamed("b", "c")
-    meet = seats.join(other, "bucket").filter("b <= c").select("b", "c").distinct().withColumn("leader", F.xxhash64("b", "c"))
-    sides = meet.select("leader", "b").union(meet.select("leader", F.col("c").alias("b"))).distinct()
-    todo = home.join(sides, "b").groupBy("rep").agg(F.collect_list(F.struct("leader", F.lit(0).alias("part"))).alias("to"))
+    low = rest.groupBy("bucket").agg(F.min("rep").alias("b"))
+    group = components(rest.join(low, "bucket").select(F.col("rep").alias("a"), "b"), store)
+    group = store.save(group.select(F.col("id").alias("rep"), F.col("component").alias("g")), "groups")
+    cut = group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("cut"))
+    home = group.join(cut, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other")
+    sides = home.select("rep", "g", "own", other)
+    # two blocks make a piece, which also compares each with itself; a group of one block is a piece of its own
+    key = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))
+    sides = sides.filter("own <> other").select("rep", key.alias("leader")).union(home.filter("cut = 1").select("rep", F.xxhash64("g", F.lit(0), F.lit(0)).alias("leader")))
+    todo = sides.groupBy("rep").agg(F.collect_list(F.struct("leader", F.lit(0).alias("part"))).alias("to"))
     percent = p.percent
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

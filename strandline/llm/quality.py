@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import Store
 from ._text import U, Words, buffers, mix, runs, sequences, to_list
 
 # Common English insults.
@@ -207,7 +208,7 @@ def learn(rows: list[np.ndarray], shape: np.ndarray, y: np.ndarray, p: Params) -
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, p: Params = Params()) -> DataFrame:
     """One row per document: doc_id, quality, toxic (scores 0 to 1), kept, and the labellers' posteriors."""
-    spark = docs.sparkSession
+    spark = Store(docs.sparkSession).spark
     bad_words = spark.sparkContext.broadcast(toxic_words(docs, labels, p))
     lists = p.lists + 1
 

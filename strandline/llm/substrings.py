@@ -298,7 +298,7 @@ def repeated_spans(docs: DataFrame, p: Params, store: Store) -> DataFrame:
     anchors = store.save(anchor_rows(docs, p), "anchors")
     own = anchors.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("fp", "owner")
     own = store.save(own, "owners")
-    found = store.save(anchors.join(small(own, own.count(), 32), "fp"), "shared")
+    found = store.save(anchors.join(own, "fp"), "shared")
     store.drop(anchors)
     per = p.words * 0.3  # words of reference text per anchor, about
     load = found.agg(F.count_if(F.col("doc_id") == F.col("owner")).alias("refs")).first()["refs"]
@@ -315,7 +315,7 @@ def repeated_spans(docs: DataFrame, p: Params, store: Store) -> DataFrame:
     left = got.select("doc_id", F.explode(F.arrays_zip("left_at", "left_fp")).alias("x")).select("doc_id", F.col("x.left_at").alias("at"), F.col("x.left_fp").alias("fp"))
     first = left.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("fp", "owner")
     first = store.save(first, "first")
-    late = left.join(small(first, first.count(), 32), "fp").filter("doc_id > owner").select("doc_id", F.col("at").alias("start"), F.lit(p.words).alias("n"))
+    late = left.join(first, "fp").filter("doc_id > owner").select("doc_id", F.col("at").alias("start"), F.lit(p.words).alias("n"))
     spans = got.select("doc_id", F.explode(F.arrays_zip("starts", "spans")).alias("x")).select("doc_id", F.col("x.starts").alias("start"), F.col("x.spans").alias("n"))
     return spans.union(late).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("at"))
 
