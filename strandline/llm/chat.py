@@ -176,7 +176,16 @@ def repair(turns: DataFrame, p: Params = Params()) -> DataFrame:
         pdf = pdf[["conv_id", "slice", "part"]].assign(seq=range(len(pdf)), enter=enter, leave=leave, cost=cost, last=[k == len(pdf) - 1 for k in range(len(pdf))])
         return pdf
 
-    where = parts.select("conv_id", "slice", "part", "m").groupBy("conv_id").applyInPandas(chain, f"conv_id {kind}, slice long, part int, seq int, enter int, leave int, cost long, last boolean")
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        close = np.array([machine.close[s][0] for s in range(4)], np.int64)
+        for pdf in batches:
+            final = np.array(pdf["m"].tolist(), np.int64).reshape(-1, 4, 4)[:, START, :] + close
+            yield pdf[["conv_id", "slice", "part"]].assign(seq=0, enter=START, leave=final.argmin(axis=1), cost=final.min(axis=1), last=True)
+
+    # a conversation of one part, as nearly all are, needs no chaining
+    ways = f"conv_id {kind}, slice long, part int, seq int, enter int, leave int, cost long, last boolean"
+    cols = parts.select("conv_id", "slice", "part", "m", "n_parts")
+    where = cols.filter("n_parts = 1").drop("n_parts").mapInPandas(alone, ways).unionByName(cols.filter("n_parts > 1").drop("n_parts").groupBy("conv_id").applyInPandas(chain, ways))
     where = store.save(where, "ways")
     text = x.groupBy("conv_id", "slice", "part").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.try_element_at(role, F.coalesce("role", F.lit(""))), F.lit(0)).alias("r"), "text"))).alias("t"))
     joined = text.withColumn("_c", F.to_json(F.struct("conv_id"))).join(where.withColumn("_c", F.to_json(F.struct("conv_id"))).drop("conv_id"), ["_c", "slice", "part"]).drop("_c")
