@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._store import Store, small
 from ._text import Words, buffers, runs, sequences, signed, to_list
@@ -236,7 +237,7 @@ def shard_rows(docs: DataFrame, asked: DataFrame, p: Params) -> DataFrame:
                 yield flush(head, words)
                 tails.clear()
 
-    sent = docs.select("doc_id", "text").join(asked, "doc_id")
+    sent = docs.select("doc_id", "text").join(asked.hint("merge"), "doc_id")
     return sent.mapInArrow(run, "shard int, part int, kind int, doc_id long, start int, w array<long>, pos array<int>")
 
 
@@ -298,7 +299,7 @@ def repeated_spans(docs: DataFrame, p: Params, store: Store) -> DataFrame:
     anchors = store.save(anchor_rows(docs, p), "anchors")
     own = anchors.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("fp", "owner")
     own = store.save(own, "owners")
-    found = store.save(anchors.join(own, "fp"), "shared")
+    found = store.save(anchors.join(own.hint("merge"), "fp"), "shared")
     store.drop(anchors)
     per = p.words * 0.3  # words of reference text per anchor, about
     load = found.agg(F.count_if(F.col("doc_id") == F.col("owner")).alias("refs")).first()["refs"]
@@ -315,13 +316,16 @@ def repeated_spans(docs: DataFrame, p: Params, store: Store) -> DataFrame:
     left = got.select("doc_id", F.explode(F.arrays_zip("left_at", "left_fp")).alias("x")).select("doc_id", F.col("x.left_at").alias("at"), F.col("x.left_fp").alias("fp"))
     first = left.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("fp", "owner")
     first = store.save(first, "first")
-    late = left.join(first, "fp").filter("doc_id > owner").select("doc_id", F.col("at").alias("start"), F.lit(p.words).alias("n"))
+    late = left.join(first.hint("merge"), "fp").filter("doc_id > owner").select("doc_id", F.col("at").alias("start"), F.lit(p.words).alias("n"))
     spans = got.select("doc_id", F.explode(F.arrays_zip("starts", "spans")).alias("x")).select("doc_id", F.col("x.starts").alias("start"), F.col("x.spans").alias("n"))
     return spans.union(late).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("at"))
 
 
-def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_text, spans (array of [start, end) in words)."""
+def remove_repeats(docs: DataFrame, p: Params = Params(), carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_text, spans (array of [start, end) in words).
+
+    With ``carry`` the document's own row comes along as the struct ``row``.
+    """
     store = Store(docs.sparkSession)
     spans = store.save(repeated_spans(docs, p, store), "spans")
 
@@ -355,5 +359,14 @@ def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_text", "spans"],
             )
 
-    x = docs.select("doc_id", "text").join(spans, "doc_id", "left")
-    return x.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>")
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for out in run(iter([b])):
+                yield pa.RecordBatch.from_arrays([*out.columns, b.column("row")], names=[*out.schema.names, "row"])
+
+    schema = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>"
+    if not carry:
+        return docs.select("doc_id", "text").join(spans.hint("merge"), "doc_id", "left").mapInArrow(run, schema)
+    row = F.struct(*docs.columns).alias("row")
+    x = docs.select("doc_id", "text", row).join(spans.hint("merge"), "doc_id", "left")
+    return x.mapInArrow(both, T.StructType.fromDDL(schema).add("row", x.schema["row"].dataType))
