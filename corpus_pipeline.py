@@ -42,12 +42,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has; a document with nothing left goes."""
-    store = Store(spark)
-    cut = substrings.remove_repeats(docs).filter("n_removed > 0").select("doc_id", (F.col("n_words") > F.col("n_removed")).alias("some"), F.col("kept_text").alias("_kept"))
-    cut = store.save(cut, "shortened")
-    x = docs.join(cut, "doc_id", "left").filter("some is null or some")
-    text = F.coalesce("_kept", "text")
-    return x.withColumns({"text": text, "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)
+    x = substrings.remove_repeats(docs, carry=True).filter("n_removed = 0 or n_words > n_removed")
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return x.select(*[new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
