@@ -9,6 +9,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def canonical(value) -> str:
@@ -20,7 +21,7 @@ def short_key(*parts) -> str:
     return hashlib.blake2b(canonical(parts).encode(), digest_size=8).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _blake8(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=8).hexdigest())
 
