@@ -43,7 +43,7 @@ class Params:
 
     words: int = 50
     anchor: int = 25
-    shard_words: int = 120_000
+    shard_words: int = 60_000
     task_words: int = 600_000
 
 
