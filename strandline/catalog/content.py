@@ -171,7 +171,7 @@ def probe_streams(spark, sf):
     return s.select("source_id", big("index").alias("index"), "codec", "codec_type", "language", "is_default", "forced", ms("fps").alias("fps_e3"))
 
 
-@query("probe_runtime", """SELECT CAST(p_partkey AS BIGINT) AS source_id, CASE WHEN p_size % 2 = 0 THEN CAST(p_partkey AS DOUBLE) ELSE p_partkey + 0.25e0 END AS runtime_s, 0.5e0 AS start_offset_s FROM part WHERE p_partkey % 5 = 0""")
+@query("probe_runtime", """SELECT CAST(p_partkey AS BIGINT) AS source_id, CASE WHEN p_size % 2 = 0 AND p_partkey > 0 THEN CAST(p_partkey AS DOUBLE) ELSE p_partkey + 0.25e0 END AS runtime_s, 0.5e0 AS start_offset_s FROM part WHERE p_partkey % 5 = 0""")
 def probe_runtime(spark, sf):
     return PR.runtime(_probe_json(spark, sf))
 

@@ -38,10 +38,9 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 102
     ``vectors`` have (vec_id, embedding).
     """
     q = queries.select("vec_id", "embedding").filter("embedding is not null")
-    q = q.withColumn("_b", F.floor(F.row_number().over(W.partitionBy(F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")) / block))
-    q = q.withColumn("_b", F.concat_ws("-", F.pmod(F.xxhash64("vec_id"), F.lit(64)), "_b"))
+    q = q.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-q.count() // block)))))
     blocks = q.groupBy("_b").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q")).select("q")
-    n = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
+    n = max(1, -(-vectors.count() // (4 * block)))  # tiles of a bounded size, however many vectors there are
     tiles = vectors.select("vec_id", "embedding").filter("embedding is not null")
     tiles = tiles.withColumn("_t", F.pmod(F.xxhash64("vec_id"), F.lit(n))).groupBy("_t").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("v")).select("v")
 
