@@ -155,7 +155,7 @@ def token_total(spark, sf):
 
 
 def _probe_json(spark, sf):
-    o = table(spark, sf, "part").filter("p_partkey % 5 = 0")
+    o = table(spark, sf, "part")
     k = F.col("p_partkey").cast("string")
     js = F.concat(
         F.lit('{"format":{"duration":"'), F.when(F.col("p_size") % 2 == 0, k).otherwise("0"), F.lit('","start_time":"0.5"},"streams":[{"index":0,"codec_name":"hevc","codec_type":"video","avg_frame_rate":"24000/1001","r_frame_rate":"0/0","duration":"'),
@@ -165,13 +165,13 @@ def _probe_json(spark, sf):
 
 
 @query("probe_streams", """SELECT CAST(p_partkey AS BIGINT) AS source_id, CAST(i AS BIGINT) AS "index", ['hevc', 'aac', 'unknown'][i + 1] AS codec, ['video', 'audio', 'subtitle'][i + 1] AS codec_type,
- [NULL, 'eng', 'fre'][i + 1] AS language, i = 1 AS is_default, i = 2 AS forced, CASE WHEN i = 0 THEN CAST(floor(24000e0 / 1001e0 * 1000 + 0.5) AS BIGINT) END AS fps_e3 FROM part, range(3) t(i) WHERE p_partkey % 5 = 0""")
+ [NULL, 'eng', 'fre'][i + 1] AS language, i = 1 AS is_default, i = 2 AS forced, CASE WHEN i = 0 THEN CAST(floor(24000e0 / 1001e0 * 1000 + 0.5) AS BIGINT) END AS fps_e3 FROM part, range(3) t(i)""")
 def probe_streams(spark, sf):
     s = PR.streams(_probe_json(spark, sf))
     return s.select("source_id", big("index").alias("index"), "codec", "codec_type", "language", "is_default", "forced", ms("fps").alias("fps_e3"))
 
 
-@query("probe_runtime", """SELECT CAST(p_partkey AS BIGINT) AS source_id, CASE WHEN p_size % 2 = 0 AND p_partkey > 0 THEN CAST(p_partkey AS DOUBLE) ELSE p_partkey + 0.25e0 END AS runtime_s, 0.5e0 AS start_offset_s FROM part WHERE p_partkey % 5 = 0""")
+@query("probe_runtime", """SELECT CAST(p_partkey AS BIGINT) AS source_id, CASE WHEN p_size % 2 = 0 AND p_partkey > 0 THEN CAST(p_partkey AS DOUBLE) ELSE p_partkey + 0.25e0 END AS runtime_s, 0.5e0 AS start_offset_s FROM part""")
 def probe_runtime(spark, sf):
     return PR.runtime(_probe_json(spark, sf))
 
@@ -236,12 +236,12 @@ def cosine_topk(spark, sf):
 
 
 def _line_shot(spark, sf):
-    """Lines and shots of ten sources: the embeddings, by label; ids divisible by 25 are lines."""
+    """Lines and shots of ten sources: the embeddings, by label; ids divisible by 100 are lines."""
     e = table(spark, sf, "embeddings").select(F.col("label").alias("source_id"), F.col("vec_id").alias("i"), "embedding")
-    return e.filter("i % 25 = 0"), e
+    return e.filter("i % 100 = 0"), e
 
 
-@query("minmax_rescale", f"""WITH s AS (SELECT a.label AS source_id, a.vec_id AS line_i, b.vec_id AS shot_i, {DOT.format('a.embedding', 'b.embedding')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 25 = 0),
+@query("minmax_rescale", f"""WITH s AS (SELECT a.label AS source_id, a.vec_id AS line_i, b.vec_id AS shot_i, {DOT.format('a.embedding', 'b.embedding')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0),
 w AS (SELECT *, min(c) OVER (PARTITION BY source_id, line_i) AS lo, max(c) OVER (PARTITION BY source_id, line_i) AS hi FROM s)
 SELECT CAST(source_id AS BIGINT) AS source_id, line_i, shot_i, CAST(floor(CASE WHEN hi - lo > 1e-6 THEN (c - lo) / (hi - lo) ELSE c END * 1e6 + 0.5) AS BIGINT) AS similarity_e6 FROM w""")
 def minmax_rescale(spark, sf):
@@ -249,7 +249,7 @@ def minmax_rescale(spark, sf):
     return x.select(big("source_id").alias("source_id"), "line_i", "shot_i", F.floor(F.col("similarity") * 1e6 + 0.5).cast("bigint").alias("similarity_e6"))
 
 
-@query("best_shot", f"""WITH s AS (SELECT a.label AS source_id, a.vec_id AS line_i, b.vec_id AS shot_i, {DOT.format('a.embedding', 'b.embedding')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id)
+@query("best_shot", f"""WITH s AS (SELECT a.label AS source_id, a.vec_id AS line_i, b.vec_id AS shot_i, {DOT.format('a.embedding', 'b.embedding')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
 SELECT CAST(source_id AS BIGINT) AS source_id, line_i, shot_i FROM (SELECT *, row_number() OVER (PARTITION BY source_id, line_i ORDER BY c DESC, shot_i) AS r FROM s) WHERE r = 1""")
 def best_shot(spark, sf):
     x = V.line_shot_similarity(*_line_shot(spark, sf)).filter("line_i <> shot_i")
@@ -275,7 +275,7 @@ def quantise(spark, sf):
     return events(spark, sf).select("event_id", big(F.bround(exact * 24.0)).alias("frames"), F.floor(ask * 1e6 + 0.5).cast("bigint").alias("request_e6"))
 
 
-ELIGIBLE = f"""{EV}, li AS (SELECT source_id, event_id AS line_i, t AS story FROM ev WHERE event_id % 20 = 0),
+ELIGIBLE = f"""{EV}, li AS (SELECT source_id, event_id AS line_i, t AS story FROM ev WHERE event_id % 100 = 0),
 x AS (SELECT l.source_id, line_i, e.event_id AS shot_i, abs(e.t - story) AS d, e.t <= 1296000e0 AND e.event_id % 5 < 3 AS base, e.value / 500e0 AS sim, e.value > 100 AS dark,
  exp(-((e.t - story) * (e.t - story)) / (2e0 * 86400e0 * 86400e0)) AS prox FROM li l JOIN ev e ON e.source_id = l.source_id),
 n AS (SELECT *, min(CASE WHEN base THEN d END) OVER (PARTITION BY source_id, line_i) AS near FROM x),
@@ -287,7 +287,7 @@ w AS (SELECT *, coalesce(max(CASE WHEN ok THEN sim END) OVER (PARTITION BY sourc
 @query("score_eligible", f"WITH {ELIGIBLE} SELECT source_id, line_i, shot_i, radius, ok AS eligible, weak, CAST(floor(CASE WHEN weak THEN prox + 0e0 - CASE WHEN dark THEN 1e0 ELSE 0e0 END ELSE sim END * 1e6 + 0.5) AS BIGINT) AS score_e6 FROM w")
 def score_eligible(spark, sf):
     ev = events(spark, sf)
-    li = ev.filter("event_id % 20 = 0").select("source_id", F.col("event_id").alias("line_i"), F.col("t").alias("story_time"))
+    li = ev.filter("event_id % 100 = 0").select("source_id", F.col("event_id").alias("line_i"), F.col("t").alias("story_time"))
     sh = ev.select("source_id", F.col("event_id").alias("shot_i"), F.col("t").alias("start"), F.col("t").alias("mid"), (F.col("event_id") % 5).alias("uses"), (F.col("value") / 500.0).alias("similarity"), F.when(F.col("value") > 100, 1.0).otherwise(0.0).alias("dark"))
     x = li.join(sh, "source_id").withColumns({"ceiling": F.lit(RUNTIME / 2), "band": F.lit(0.0), "score": F.col("similarity"), "proximity": M.proximity_score(F.col("mid"), F.col("story_time"), 86400.0)})
     by = ["source_id", "line_i"]

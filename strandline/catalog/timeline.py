@@ -271,10 +271,10 @@ def split_anchored(spark, sf):
 
 
 def _line_inputs(spark, sf):
-    """Narration lines (every fifth event of a user), beats (the runs of equal event types) and content spans."""
+    """Narration lines (the events of a user), beats (the runs of equal event types) and content spans."""
     runs = G.group_runs(events(spark, sf), F.col("text"), ["t", "event_id"])
     beats = runs.groupBy("source_id", F.col("run").alias("i")).agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"))
-    lines = G.place_cumulative(runs.filter("event_id % 5 = 0").withColumn("seconds", F.col("value") * 600.0), ["t", "event_id"])
+    lines = G.place_cumulative(runs.withColumn("seconds", F.col("value") * 600.0), ["t", "event_id"])
     lines = lines.select("source_id", "i", F.col("event_id").alias("script_i"), F.col("start").alias("start_s"), "seconds", F.col("t").alias("story_time"), F.col("run").alias("beat_id"), F.lit(RUNTIME / 2).alias("spoiler_ceiling"))
     return lines, beats, _span(spark, sf)
 
@@ -285,7 +285,7 @@ def line_windows_df(spark, sf):
 
 
 LINE_WINDOWS = f"""{RUNS}, {SPAN}, beats AS (SELECT source_id, run, min(t) AS bs, max(t) AS be FROM runs GROUP BY 1, 2),
-li AS (SELECT source_id, event_id, t, run, greatest(0.1e0, value * 600e0) AS q, value FROM runs WHERE event_id % 5 = 0 AND value > 0),
+li AS (SELECT source_id, event_id, t, run, greatest(0.1e0, value * 600e0) AS q, value FROM runs WHERE value > 0),
 g AS (SELECT l.*, CASE WHEN be > bs THEN be ELSE bs + 86400e0 END AS en, bs, low AS cl, high AS ch FROM li l JOIN beats b USING (source_id, run) JOIN span p USING (source_id)),
 h AS (SELECT *, greatest(cl, least(bs, ch)) AS lo, least(en, bs + 259200e0) AS hi0 FROM g),
 k AS (SELECT *, greatest(least(hi0, ch), lo + 1e0) AS hi, sum(q) OVER (PARTITION BY source_id, run) AS n, coalesce(sum(q) OVER (PARTITION BY source_id, run ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS b FROM h)"""
@@ -351,14 +351,14 @@ def cues_in_beats(spark, sf):
 
 
 @query("act_fallback_thirds", """WITH r AS (SELECT o_custkey AS source_id, CAST(count(*) * 100 AS DOUBLE) AS rt FROM orders GROUP BY 1),
-a AS (SELECT o_custkey AS source_id, o_orderkey AS act, CAST(o_orderkey % 900 AS DOUBLE) AS s, CAST(o_orderkey % 1700 AS DOUBLE) AS e FROM orders WHERE o_custkey % 3 <> 0),
+a AS (SELECT o_custkey AS source_id, o_orderkey AS act, CAST(o_orderkey % 900 AS DOUBLE) AS s, CAST(o_orderkey % 1700 AS DOUBLE) AS e FROM orders),
 ok AS (SELECT a.source_id, act, s, least(e, rt) AS e FROM a JOIN r ON r.source_id = a.source_id WHERE s >= 0 AND s < e AND e <= rt + 1)
 SELECT source_id, act, CAST(floor(s * 1000 + 0.5) AS BIGINT) AS start_ms, CAST(floor(e * 1000 + 0.5) AS BIGINT) AS end_ms FROM ok
 UNION ALL SELECT source_id, a, CAST(floor(rt * (a - 1) / 3 * 1000 + 0.5) AS BIGINT), CAST(floor(rt * a / 3 * 1000 + 0.5) AS BIGINT) FROM r, range(1, 4) t(a) WHERE source_id NOT IN (SELECT source_id FROM ok)""")
 def act_fallback_thirds(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("source_id"), "o_orderkey")
     runtime = o.groupBy("source_id").agg((F.count(F.lit(1)) * 100).cast("double").alias("runtime_s"))
-    acts = o.filter("source_id % 3 <> 0").select("source_id", big("o_orderkey").alias("act"), (F.col("o_orderkey") % 900).cast("double").alias("start_s"), (F.col("o_orderkey") % 1700).cast("double").alias("end_s"))
+    acts = o.select("source_id", big("o_orderkey").alias("act"), (F.col("o_orderkey") % 900).cast("double").alias("start_s"), (F.col("o_orderkey") % 1700).cast("double").alias("end_s"))
     return E.acts_or_thirds(acts, runtime).select("source_id", big("act").alias("act"), ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"))
 
 
