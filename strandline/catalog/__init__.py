@@ -1,6 +1,6 @@
 """Queries for the driver: importing the catalogue registers them."""
 
-from . import content, timeline  # noqa: F401
+from . import content, producers, timeline  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
