@@ -229,6 +229,22 @@ def test_lm_is_a_distribution():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_full_model():
+    """Every id sees at least 16 ids before it, and the 7168 most frequent ids have a row of their own."""
+    p = lmscore.Params(steps=2)
+    end = 9000
+    counts = np.arange(end + 1, 0, -1)
+    ids = np.random.default_rng(0).integers(0, end, 4000).astype(np.int32)
+    m = lmscore.fit(ids, np.full(40, 100), counts, end, p)
+    assert len(np.unique(m.row[:7168])) == 7168 and len(np.unique(m.row)) == 8192
+    text = ids[:80]
+    base = lmscore.score_ids(text, np.array([80]), m)
+    for at in range(16, 80):
+        other = text.copy()
+        other[at - 16] = (other[at - 16] + 4000) % 7000
+        assert lmscore.score_ids(other, np.array([80]), m)[at] != base[at]
+
+
 def test_chat(spark):
     m = chat.Machine(chat.Params())
     p = chat.Params()
