@@ -5,7 +5,9 @@ random hyperplane signatures (several orders, so that an edge of a block in one
 refined through neighbours of neighbours: around each vector its neighbours, in both directions, are compared
 with each other, and every vector keeps its best. Rounds end when they find hardly any new link. A vector whose
 whole list is at or above the threshold is saturated; lists are then enlarged to all of the vector's component, in
-tiles that are compared as matrix products and return counts and not pairs. An audit against brute force on a bounded set of vectors measures
+tiles that are compared as matrix products and return counts and not pairs. Tiles of different components with
+saturated vectors are compared too, unless their balls (centre and largest angle) lie too far apart for any link, and
+components that link are joined. An audit against brute force on a bounded set of vectors measures
 recall; below ``recall`` further rounds follow.
 
 Equal vectors are one class with a weight, so copies cost nothing. Similarities are in double precision.
@@ -214,18 +216,28 @@ def brute(v: DataFrame, queries: np.ndarray, ids: np.ndarray, t: float) -> dict[
     return got
 
 
-def tile_counts(v: DataFrame, comp: DataFrame, p: Params, store: Store) -> DataFrame:
-    """(id, n_links) inside components that hold a saturated vector, tile against tile.
+def tile_parts(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, weights and unit vectors of a tile."""
+    f = col.flatten()
+    return f.field(0).to_numpy(), f.field(1).to_numpy().astype(np.int64), unit(matrix(f.field(2)))
 
-    Members are dealt to tiles by a hash. Only tiles of one component meet; each pair of tiles is one matrix product and
-    returns one count per vector, never pairs.
-    """
+
+def tiles_of(v: DataFrame, comp: DataFrame, p: Params, store: Store) -> DataFrame:
+    """(component, slot, slots, t): members of each component, dealt to tiles by a hash."""
     sized = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     x = v.join(comp, "id").join(sized, "component")
     # tiles: members dealt by a hash of the component's size into slots of about ``tile``
     slots = F.greatest(F.lit(1), F.ceil(F.col("n") / p.tile)).cast("long")
     x = x.withColumn("slot", F.pmod(F.xxhash64("id"), slots)).withColumn("slots", slots)
-    tiles = store.save(x.groupBy("component", "slot", "slots").agg(F.collect_list(F.struct("id", "m", "v")).alias("t")), "tiles")
+    return store.save(x.groupBy("component", "slot", "slots").agg(F.collect_list(F.struct("id", "m", "v")).alias("t")), "tiles")
+
+
+def tile_counts(tiles: DataFrame, p: Params) -> DataFrame:
+    """(id, n_links) inside components that hold a saturated vector, tile against tile.
+
+    Only tiles of one component meet; each pair of tiles is one matrix product and returns one count per vector, never
+    pairs.
+    """
     other = F.explode(F.sequence(F.col("slot"), F.col("slots") - 1))
     left = tiles.select("component", F.col("slot").alias("a"), other.alias("b"), F.col("t").alias("ta"))
     right = tiles.select("component", F.col("slot").alias("b"), F.col("t").alias("tb"))
@@ -237,8 +249,8 @@ def tile_counts(v: DataFrame, comp: DataFrame, p: Params, store: Store) -> DataF
             for k in range(len(batch)):
                 one = batch.slice(k, 1)
                 a, b = int(one.column("a")[0].as_py()), int(one.column("b")[0].as_py())
-                ia, wa, xa = parts(one.column("ta"))
-                ib, wb, xb = (ia, wa, xa) if a == b else parts(one.column("tb"))
+                ia, wa, xa = tile_parts(one.column("ta"))
+                ib, wb, xb = (ia, wa, xa) if a == b else tile_parts(one.column("tb"))
                 near = xa @ xb.T >= t
                 ids, n = ia, near @ wb
                 if a == b:
@@ -247,13 +259,63 @@ def tile_counts(v: DataFrame, comp: DataFrame, p: Params, store: Store) -> DataF
                     ids, n = np.concatenate((ia, ib)), np.concatenate((n, wa @ near))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["id", "n"])
 
-    def parts(col):
-        f = col.flatten()
-        return f.field(0).to_numpy(), f.field(1).to_numpy().astype(np.int64), unit(matrix(f.field(2)))
-
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def cross_counts(tiles: DataFrame, p: Params, store: Store) -> DataFrame:
+    """(id, n, a, b): links of a vector into another component, ``a`` and ``b`` the two components; exact.
+
+    A tile is a ball on the sphere. Two tiles can hold a link only if the angle of their centres is at most both
+    radii and the angle of the threshold; those pairs are compared.
+    """
+    t, reach = p.threshold, float(np.arccos(p.threshold)) + 1e-6
+
+    def ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                one = batch.slice(k, 1)
+                x = tile_parts(one.column("t"))[2]
+                c = unit(x.mean(axis=0, keepdims=True))
+                r = float(np.arccos(np.clip(x @ c[0], -1, 1)).max())
+                yield pa.RecordBatch.from_arrays([one.column("component"), one.column("slot"), to_list(c[0], np.array([x.shape[1]]), pa.float64()), pa.array([r])], names=["component", "slot", "c", "r"])
+
+    balls = store.save(tiles.select("component", "slot", "t").mapInArrow(ball, "component long, slot long, c array<double>, r double"), "balls")
+    n = max(1, -(-balls.count() // 1024))
+    blocks = balls.withColumn("g", F.pmod(F.xxhash64("component", "slot"), F.lit(n))).groupBy("g").agg(F.collect_list(F.struct("component", "slot", "c", "r")).alias("t"))
+    blocks = store.save(blocks, "blocks")
+    left = blocks.select("g", F.col("t").alias("ta"), F.explode(F.sequence(F.col("g"), F.lit(n - 1).cast("long"))).alias("h"))
+    both = left.join(blocks.select(F.col("g").alias("h"), F.col("t").alias("tb")), "h")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                one = batch.slice(k, 1)
+                fa, fb = one.column("ta").flatten(), one.column("tb").flatten()
+                (ca, sa, xa, ra), (cb, sb, xb, rb) = (((f.field(0).to_numpy(), f.field(1).to_numpy(), matrix(f.field(2)), f.field(3).to_numpy())) for f in (fa, fb))
+                hit = (np.arccos(np.clip(xa @ xb.T, -1, 1)) <= ra[:, None] + rb + reach) & (ca[:, None] != cb)
+                if one.column("g")[0].as_py() == one.column("h")[0].as_py():
+                    hit &= ca[:, None] < cb
+                i, j = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(ca[i]), pa.array(sa[i]), pa.array(cb[j]), pa.array(sb[j])], names=["ca", "sa", "cb", "sb"])
+
+    near = store.save(both.select("g", "h", "ta", "tb").mapInArrow(meet, "ca long, sa long, cb long, sb long"), "meet")
+    near = near.join(tiles.select(F.col("component").alias("ca"), F.col("slot").alias("sa"), F.col("t").alias("ta")), ["ca", "sa"])
+    near = near.join(tiles.select(F.col("component").alias("cb"), F.col("slot").alias("sb"), F.col("t").alias("tb")), ["cb", "sb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                one = batch.slice(k, 1)
+                (ia, wa, xa), (ib, wb, xb) = tile_parts(one.column("ta")), tile_parts(one.column("tb"))
+                link = xa @ xb.T >= t
+                ids, m = np.concatenate((ia, ib)), np.concatenate((link @ wb, wa @ link)).astype(np.int64)
+                ids, m = ids[m > 0], m[m > 0]
+                a, b = (np.full(len(ids), one.column(c)[0].as_py(), np.int64) for c in ("ca", "cb"))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(m), pa.array(a), pa.array(b)], names=["id", "n", "a", "b"])
+
+    return store.save(near.select("ca", "cb", "ta", "tb").mapInArrow(run, "id long, n long, a long, b long"), "cross")
+
+
 def near_duplicates(table: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = table.sparkSession
@@ -317,7 +379,12 @@ def links_of(v: DataFrame, p: Params, store: Store) -> DataFrame:
     deep = comp.join(full, "id", "left_semi").select("component").distinct()
     deep = store.save(comp.join(deep, "component", "left_semi"), "saturated")
     # enlarged lists: for vectors of a component with a saturated member all of it is compared, in tiles
-    inner = tile_counts(v.select("id", "m", "v"), deep, p, store)
+    tiles = tiles_of(v.select("id", "m", "v"), deep, p, store)
+    # two saturated vectors may link although neither list has room for the other: such components are joined
+    cross = cross_counts(tiles, p, store)
+    inner = tile_counts(tiles, p).union(cross.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
+    joined = components(cross.select("a", "b").distinct(), store).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    comp = comp.join(joined, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
     w = v.select("id", "m")
     ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     plain = ends.join(deep.select(F.col("id").alias("a")), "a", "left_anti").join(w.select(F.col("id").alias("b"), "m"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("m").alias("n"))
@@ -325,7 +392,7 @@ def links_of(v: DataFrame, p: Params, store: Store) -> DataFrame:
 
 
 def recall_of(graph: DataFrame, v: DataFrame, p: Params, audit):
-    """(share of the audited vectors' true links that lists hold or that a saturated list will be enlarged to, truth)."""
+    """(share of the audited vectors' true links that a list of either end holds or that join two saturated ends, truth)."""
     if audit is None:
         rows = v.orderBy(F.xxhash64("id", F.lit(p.seed))).limit(p.audit).select("id", "v").toArrow()
         ids = rows.column("id").to_numpy()
@@ -336,11 +403,16 @@ def recall_of(graph: DataFrame, v: DataFrame, p: Params, audit):
     if not want:
         return 1.0, audit
     mine = graph.join(F.broadcast(graph.sparkSession.createDataFrame([(int(i),) for i in truth], "id long")), "id").collect()
+    near = lambda r: {n for n, s in zip(r["nb"], r["sim"], strict=True) if s >= p.threshold - 1e-4}
+    mine = {r["id"]: near(r) for r in mine}
+    far = {n for i, x in truth.items() for n in x - mine.get(i, set())}
+    ends = graph.join(graph.sparkSession.createDataFrame([(int(i),) for i in far], "id long"), "id").collect() if far else []
+    ends = {r["id"]: near(r) for r in ends}
     got = 0
-    for r in mine:
-        near = {n for n, s in zip(r["nb"], r["sim"], strict=True) if s >= p.threshold - 1e-4}
-        full = len(near) >= p.k
-        got += len(truth[r["id"]]) if full else len(near & truth[r["id"]])
+    for i, x in truth.items():
+        own = mine.get(i, set())
+        full = len(own) >= p.k
+        got += sum(n in own or i in ends.get(n, ()) or (full and len(ends.get(n, ())) >= p.k) for n in x)
     return got / want, audit
 
 

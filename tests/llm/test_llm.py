@@ -180,6 +180,22 @@ def test_embeddings(spark):
     assert got[594]["component_id"] == 0
 
 
+def test_embeddings_saturated_groups(spark):
+    """Links between two groups whose lists are all filled by their own group."""
+    rng = np.random.default_rng(5)
+    u, w = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    x = np.concatenate([c + rng.standard_normal((20, 64)) * 0.006 for c in (u, 0.93 * u + np.sqrt(1 - 0.93**2) * w)] + [rng.standard_normal((200, 64))])
+    n = np.linalg.norm(x, axis=1)
+    link = (x @ x.T) / n[:, None] / n >= 0.9
+    np.fill_diagonal(link, False)
+    assert link[:20, 20:40].all()
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    for tile in (256, 8):
+        got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, embeddings.Params(tile=tile)).collect()}
+        assert [got[i]["n_links"] for i in range(240)] == link.sum(axis=1).tolist()
+        assert all(got[i]["component_id"] == 0 and got[i]["kept"] == (i == 0) for i in range(40))
+
+
 def test_decontaminate_edits(spark):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
