@@ -7,8 +7,9 @@ with each other, and every vector keeps its best. Rounds end when they find hard
 whole list is at or above the threshold is saturated; lists are then enlarged to all of the vector's component, in
 tiles that are compared as matrix products and return counts and not pairs. Tiles of different components with
 saturated vectors are compared too, unless their balls (centre and largest angle) lie too far apart for any link, and
-components that link are joined. An audit against brute force on a bounded set of vectors measures
-recall; below ``recall`` further rounds follow.
+components that link are joined. An audit against brute force on a bounded set of vectors,
+half of it vectors with a known link, measures recall; below ``recall`` further rounds follow, each with new orders.
+If it is still not reached, or no link is known to audit, all vectors are compared exactly in tiles.
 
 Equal vectors are one class with a weight, so copies cost nothing. Similarities are in double precision.
 
@@ -85,16 +86,21 @@ def lists(ids: np.ndarray, nb: list[np.ndarray], sim: list[np.ndarray]) -> pa.Re
 LIST = "id long, nb array<long>, sim array<float>"
 
 
-def start_lists(v: DataFrame, p: Params) -> DataFrame:
-    """Candidate lists from blocks of every order."""
-    bits, orders, seed = p.bits, p.orders, p.seed
+def orders_of(n: int, p: Params) -> int:
+    """Signature orders for ``n`` vectors: ``orders`` up to 2^16 of them, and as many again with each doubling."""
+    return p.orders * max(1, 1 + (max(n, 1) - 1).bit_length() - 16)
+
+
+def start_lists(v: DataFrame, p: Params, first: int, orders: int) -> DataFrame:
+    """Candidate lists from blocks of ``orders`` orders from number ``first`` on."""
+    bits, seed = p.bits, p.seed
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
             x = matrix(b.column("v"))
-            for t in range(orders):
+            for t in range(first, first + orders):
                 planes = np.random.default_rng((seed, t, x.shape[1])).standard_normal((x.shape[1], bits))
                 key = ((x @ planes > 0) * (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), t, np.int32)), pa.array(key), b.column("id"), b.column("v")], names=["ord", "key", "id", "v"])
@@ -148,6 +154,38 @@ def merge_lists(parts: DataFrame, k: int) -> DataFrame:
     return g.mapInArrow(run, LIST)
 
 
+def exact_lists(v: DataFrame, n: int, p: Params, store: Store) -> DataFrame:
+    """Lists from comparing all vectors, tile against tile; each keeps at most its ``k`` best links of a pair of tiles."""
+    slots = max(1, -(-n // (4 * p.tile)))
+    x = v.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(slots))).groupBy("a").agg(F.collect_list(F.struct("id", "v")).alias("ta"))
+    tiles = store.save(x, "all")
+    left = tiles.select("a", "ta", F.explode(F.sequence(F.col("a"), F.lit(slots - 1).cast("long"))).alias("b"))
+    both = left.join(tiles.select(F.col("a").alias("b"), F.col("ta").alias("tb")), "b").select("a", "b", "ta", "tb")
+    k, t = p.k, p.threshold - 1e-4
+
+    def half(ids: np.ndarray, others: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero((sim >= t).any(axis=1))
+        best = [np.argsort(-sim[i], kind="stable")[:k] for i in some.tolist()]
+        best = [o[sim[i, o] >= t] for i, o in zip(some.tolist(), best, strict=True)]
+        return lists(ids[some], [others[o] for o in best], [sim[i, o] for i, o in zip(some.tolist(), best, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                one = batch.slice(r, 1)
+                fa, fb = one.column("ta").flatten(), one.column("tb").flatten()
+                ia, ib = fa.field(0).to_numpy(), fb.field(0).to_numpy()
+                sim = unit(matrix(fa.field(1))) @ unit(matrix(fb.field(1))).T
+                if one.column("a")[0].as_py() == one.column("b")[0].as_py():
+                    np.fill_diagonal(sim, -2)
+                    yield half(ia, ib, sim)
+                else:
+                    yield half(ia, ib, sim)
+                    yield half(ib, ia, sim.T)
+
+    return both.mapInArrow(run, LIST)
+
+
 def descend(graph: DataFrame, v: DataFrame, p: Params, turn: int) -> DataFrame:
     """Candidate lists from comparing, around every vector, its neighbours in both directions with each other."""
     pairs = graph.select("id", F.explode("nb").alias("n"))
@@ -347,21 +385,31 @@ def near_duplicates(table: DataFrame, p: Params = Params()) -> DataFrame:
 def links_of(v: DataFrame, p: Params, store: Store) -> DataFrame:
     """(id, n_links, component) of the classes that link with another one."""
     t = p.threshold
-    graph = store.save(merge_lists(start_lists(v, p), p.k), "graph")
+    n = v.count()
+    used = orders_of(n, p)
+    graph = store.save(merge_lists(start_lists(v, p, 0, used), p.k), "graph")
     seen, audit = link_count(graph, t), None
-    turn = 0
+    turn, reached = 0, False
     while turn < p.rounds + p.more:
         turn += 1
-        graph = store.save(merge_lists(graph.union(descend(graph, v, p, turn)), p.k), "graph")
+        found = graph.union(descend(graph, v, p, turn))
+        if audit is not None:  # the audit was not content: look in new orders too
+            found = found.union(start_lists(v, p, used, p.orders))
+            used += p.orders
+        graph = store.save(merge_lists(found, p.k), "graph")
         now = link_count(graph, t)
         settled = now <= seen * 1.001
         seen = now
         if settled or turn >= p.rounds:
             r = recall_of(graph, v, p, audit)
             audit = r[1]
-            LOG.info("round %d: %d links, recall %.4f", turn, now, r[0])
-            if r[0] >= p.recall:
+            LOG.info("round %d: %d links, recall %s", turn, now, r[0])
+            reached = r[0] is not None and r[0] >= p.recall
+            if reached or r[0] is None:
                 break
+    if not reached:
+        LOG.warning("recall %s not reached on %d vectors: comparing all of them", p.recall, n)
+        graph = store.save(merge_lists(graph.union(exact_lists(v, n, p, store)), p.k), "graph")
     links = graph.select("id", F.explode(F.arrays_zip("nb", "sim")).alias("x")).select("id", F.col("x.nb").alias("n"), F.col("x.sim").alias("s")).filter(F.col("s") >= t - 1e-4)
     # the lists carry single precision; what is kept is decided in double precision
     pairs = links.select(F.greatest("id", "n").alias("a"), F.least("id", "n").alias("b")).distinct()
@@ -392,16 +440,22 @@ def links_of(v: DataFrame, p: Params, store: Store) -> DataFrame:
 
 
 def recall_of(graph: DataFrame, v: DataFrame, p: Params, audit):
-    """(share of the audited vectors' true links that a list of either end holds or that join two saturated ends, truth)."""
+    """(share of the audited vectors' true links that a list of either end holds or that join two saturated ends, truth).
+
+    Half of the audited vectors have a link in their list, the others are any. The share is None if none has a link.
+    """
     if audit is None:
-        rows = v.orderBy(F.xxhash64("id", F.lit(p.seed))).limit(p.audit).select("id", "v").toArrow()
+        known = graph.filter(F.exists("sim", lambda s: s >= p.threshold)).select("id")
+        some = lambda x, k: x.select("id").orderBy(F.xxhash64("id", F.lit(p.seed))).limit(k)
+        chosen = some(v, p.audit - p.audit // 2).union(some(known, p.audit // 2)).distinct()
+        rows = v.join(F.broadcast(chosen), "id").select("id", "v").toArrow()
         ids = rows.column("id").to_numpy()
         q = unit(matrix(rows.column("v").combine_chunks())) if len(ids) else np.zeros((0, 0))
         audit = (ids, brute(v, q, ids, p.threshold) if len(ids) else {})
     ids, truth = audit
     want = sum(len(x) for x in truth.values())
     if not want:
-        return 1.0, audit
+        return None, audit
     mine = graph.join(F.broadcast(graph.sparkSession.createDataFrame([(int(i),) for i in truth], "id long")), "id").collect()
     near = lambda r: {n for n, s in zip(r["nb"], r["sim"], strict=True) if s >= p.threshold - 1e-4}
     mine = {r["id"]: near(r) for r in mine}

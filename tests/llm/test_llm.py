@@ -196,6 +196,21 @@ def test_embeddings_saturated_groups(spark):
         assert all(got[i]["component_id"] == 0 and got[i]["kept"] == (i == 0) for i in range(40))
 
 
+def test_embeddings_isolated_pairs(spark):
+    """Rare pairs near the threshold that a starved candidate search misses are found by the exact comparison."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((6, 32))
+    y -= (y * x[:6]).sum(axis=1, keepdims=True) * x[:6]
+    x[200:206] = 0.91 * x[:6] + np.sqrt(1 - 0.91**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    p = embeddings.Params(orders=1, block=2, rounds=1, more=0, audit=800, tile=32)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df, p).collect()}
+    assert {i for i, n in got.items() if n} == {*range(6), *range(200, 206)}
+    assert embeddings.orders_of(1 << 20, p) > embeddings.orders_of(1000, p)
+
+
 def test_decontaminate_edits(spark):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
