@@ -276,6 +276,14 @@ def test_lm_full_model():
         assert lmscore.score_ids(other, np.array([80]), m)[at] != base[at]
 
 
+def test_lm_training_grows():
+    """Sample and steps of training grow with the corpus."""
+    p = lmscore.Params()
+    words = [total * lmscore.share_of(total, p) for total in (10**5, 10**7, 10**9, 10**10)]
+    assert words == pytest.approx([10**5, 600_000, 10**7, 10**8])
+    assert lmscore.steps_of(10, p) == p.steps and lmscore.steps_of(10**6, p) * p.batch >= 4 * 10**6
+
+
 def test_chat(spark):
     m = chat.Machine(chat.Params())
     p = chat.Params()
