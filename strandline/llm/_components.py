@@ -1,7 +1,7 @@
 """Connected components of a distributed edge list, without moving links to the driver.
 
 Alternating stars: every node points its larger neighbours, then its smaller ones, at the smallest node it
-knows; rounds grow with the logarithm of a component's diameter. Each step is a grouped minimum (combined
+knows, until the links are a forest of stars; rounds grow with the logarithm of a component's diameter. Each step is a grouped minimum (combined
 before the shuffle, so a hub costs one row per task) and a join whose hot key adaptive execution splits.
 """
 
@@ -27,14 +27,15 @@ def _stars(e: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, store: Store, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, store: Store) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b): the smallest id that its links reach."""
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = store.save(e, "edges")
-    for _ in range(rounds):
+    while True:
         # done when it is a forest of stars: every larger end has one smaller end, which has none itself
         ends = e.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        if not ends.filter("n > 1").limit(1).count() and not e.join(ends.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
+        chained = e.join(ends.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+        if not ends.filter("n > 1").select("a").union(chained).limit(1).count():
             break
         e = store.save(_stars(_stars(e, True), False), "stars")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

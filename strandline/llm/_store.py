@@ -6,9 +6,13 @@ Results that are read more than once, or that cut a long lineage, are written as
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +20,31 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Run) -> Run:
+    """``run`` for mapInArrow. When a task is through, its worker gives what it has freed back to the machine: Spark
+    keeps idle workers, and without this each would stay as large as its largest task."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+            if trim:
+                trim(0)
+
+    return go
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. A local folder is made only where none is set, as in tests on one machine."""
+    """The cluster's shared folder. A local folder is made only where none is set and the master is local, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -58,7 +82,3 @@ class Store:
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if ``rows`` rows of about ``row_bytes`` stay below ``limit``; else as it is."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
-
-
-def count(df: DataFrame) -> int:
-    return df.count()

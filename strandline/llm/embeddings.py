@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._store import Store
+from ._store import Store, lean
 from ._text import to_list
 
 LOG = logging.getLogger(__name__)
@@ -105,7 +105,7 @@ def start_lists(v: DataFrame, p: Params, first: int, orders: int) -> DataFrame:
                 key = ((x @ planes > 0) * (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), t, np.int32)), pa.array(key), b.column("id"), b.column("v")], names=["ord", "key", "id", "v"])
 
-    rows = v.select("id", "v").mapInArrow(sign, f"ord int, key long, id long, v {dict(v.dtypes)['v']}")
+    rows = v.select("id", "v").mapInArrow(lean(sign), f"ord int, key long, id long, v {dict(v.dtypes)['v']}")
     # a range split deals the order out evenly, however many vectors share a signature
     rows = rows.repartitionByRange("ord", "key", "id").sortWithinPartitions("ord", "key", "id")
 
@@ -131,7 +131,7 @@ def start_lists(v: DataFrame, p: Params, first: int, orders: int) -> DataFrame:
             out_s += list(sim)
         yield lists(np.concatenate(out_i), out_n, out_s)
 
-    return rows.mapInArrow(blocks, LIST)
+    return rows.mapInArrow(lean(blocks), LIST)
 
 
 def merge_lists(parts: DataFrame, k: int) -> DataFrame:
@@ -151,7 +151,7 @@ def merge_lists(parts: DataFrame, k: int) -> DataFrame:
                 out_s.append(y[first][o])
             yield lists(b.column("id").to_numpy(), out_n, out_s)
 
-    return g.mapInArrow(run, LIST)
+    return g.mapInArrow(lean(run), LIST)
 
 
 def exact_lists(v: DataFrame, n: int, p: Params, store: Store) -> DataFrame:
@@ -183,7 +183,7 @@ def exact_lists(v: DataFrame, n: int, p: Params, store: Store) -> DataFrame:
                     yield half(ia, ib, sim)
                     yield half(ib, ia, sim.T)
 
-    return both.mapInArrow(run, LIST)
+    return both.mapInArrow(lean(run), LIST)
 
 
 def descend(graph: DataFrame, v: DataFrame, p: Params, turn: int) -> DataFrame:
@@ -231,7 +231,7 @@ def descend(graph: DataFrame, v: DataFrame, p: Params, turn: int) -> DataFrame:
         if out_i:
             yield lists(np.concatenate(out_i), out_n, out_s)
 
-    return x.mapInArrow(run, LIST)
+    return x.mapInArrow(lean(run), LIST)
 
 
 def link_count(graph: DataFrame, t: float) -> int:
@@ -249,7 +249,7 @@ def brute(v: DataFrame, queries: np.ndarray, ids: np.ndarray, t: float) -> dict[
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit[:, 1]]), pa.array(i[hit[:, 0]])], names=["q", "id"])
 
     got: dict[int, set[int]] = {}
-    for r in v.select("id", "v").mapInArrow(run, "q long, id long").filter("q <> id").groupBy("q").agg(F.collect_list("id").alias("ids")).collect():
+    for r in v.select("id", "v").mapInArrow(lean(run), "q long, id long").filter("q <> id").groupBy("q").agg(F.collect_list("id").alias("ids")).collect():
         got[r["q"]] = set(r["ids"])
     return got
 
@@ -297,7 +297,7 @@ def tile_counts(tiles: DataFrame, p: Params) -> DataFrame:
                     ids, n = np.concatenate((ia, ib)), np.concatenate((n, wa @ near))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["id", "n"])
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def cross_counts(tiles: DataFrame, p: Params, store: Store) -> DataFrame:
@@ -317,7 +317,7 @@ def cross_counts(tiles: DataFrame, p: Params, store: Store) -> DataFrame:
                 r = float(np.arccos(np.clip(x @ c[0], -1, 1)).max())
                 yield pa.RecordBatch.from_arrays([one.column("component"), one.column("slot"), to_list(c[0], np.array([x.shape[1]]), pa.float64()), pa.array([r])], names=["component", "slot", "c", "r"])
 
-    balls = store.save(tiles.select("component", "slot", "t").mapInArrow(ball, "component long, slot long, c array<double>, r double"), "balls")
+    balls = store.save(tiles.select("component", "slot", "t").mapInArrow(lean(ball), "component long, slot long, c array<double>, r double"), "balls")
     n = max(1, -(-balls.count() // 1024))
     blocks = balls.withColumn("g", F.pmod(F.xxhash64("component", "slot"), F.lit(n))).groupBy("g").agg(F.collect_list(F.struct("component", "slot", "c", "r")).alias("t"))
     blocks = store.save(blocks, "blocks")
@@ -336,7 +336,7 @@ def cross_counts(tiles: DataFrame, p: Params, store: Store) -> DataFrame:
                 i, j = np.nonzero(hit)
                 yield pa.RecordBatch.from_arrays([pa.array(ca[i]), pa.array(sa[i]), pa.array(cb[j]), pa.array(sb[j])], names=["ca", "sa", "cb", "sb"])
 
-    near = store.save(both.select("g", "h", "ta", "tb").mapInArrow(meet, "ca long, sa long, cb long, sb long"), "meet")
+    near = store.save(both.select("g", "h", "ta", "tb").mapInArrow(lean(meet), "ca long, sa long, cb long, sb long"), "meet")
     near = near.join(tiles.select(F.col("component").alias("ca"), F.col("slot").alias("sa"), F.col("t").alias("ta")), ["ca", "sa"])
     near = near.join(tiles.select(F.col("component").alias("cb"), F.col("slot").alias("sb"), F.col("t").alias("tb")), ["cb", "sb"])
 
@@ -351,7 +351,7 @@ def cross_counts(tiles: DataFrame, p: Params, store: Store) -> DataFrame:
                 a, b = (np.full(len(ids), one.column(c)[0].as_py(), np.int64) for c in ("ca", "cb"))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(m), pa.array(a), pa.array(b)], names=["id", "n", "a", "b"])
 
-    return store.save(near.select("ca", "cb", "ta", "tb").mapInArrow(run, "id long, n long, a long, b long"), "cross")
+    return store.save(near.select("ca", "cb", "ta", "tb").mapInArrow(lean(run), "id long, n long, a long, b long"), "cross")
 
 
 def near_duplicates(table: DataFrame, p: Params = Params()) -> DataFrame:
@@ -421,7 +421,7 @@ def links_of(v: DataFrame, p: Params, store: Store) -> DataFrame:
                 s = np.einsum("ij,ij->i", unit(matrix(x.column("va"))), unit(matrix(x.column("vb"))))
                 yield x.select(["a", "b"]).filter(pa.array(s >= t))
 
-    pairs = store.save(pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(exact, "a long, b long"), "links")
+    pairs = store.save(pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(lean(exact), "a long, b long"), "links")
     comp = store.save(components(pairs, store), "components")
     full = graph.filter((F.size("nb") >= p.k) & (F.element_at("sim", -1) >= t - 1e-4)).select("id")
     deep = comp.join(full, "id", "left_semi").select("component").distinct()

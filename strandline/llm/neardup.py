@@ -1,6 +1,6 @@
 """MinHash near-duplicates with tensored banding.
 
-A document's set holds its distinct 4-word shingles. Two small collections of minhash groups are computed,
+A document's set holds its distinct shingles of ``words`` words. Two small collections of minhash groups are computed,
 ``m`` groups of ``r`` values each; a table key pairs one group of the first with one of the second, so
 ``2*m*r`` minhashes serve ``m*m`` tables of ``2*r`` values: about the square root of the usual work. With
 m = 12 and r = 3 (72 minhashes, 144 tables) a pair at similarity 0.8 is missed with a chance of 0.0004.
@@ -8,9 +8,10 @@ m = 12 and r = 3 (72 minhashes, 144 tables) a pair at similarity 0.8 is missed w
 Equal sets are one class from the start. Only classes that share a group value on both sides form table keys
 (the others cannot meet in any table). Buckets never emit all pairs: members are compared with the smallest one of
 their bucket; where a bucket's members are then not in one component, the open members are compared in blocks of
-bounded size, so every candidate pair whose ends are not yet in one component is checked. Checks are exact, on whole sets.
+bounded size, so every candidate pair whose ends are not yet in one component is checked. Pairs inside a group's
+largest component are left out, as they are linked already. Checks are exact, on whole sets.
 
-Defined results: a NULL doc_id keeps NULL as its component and links with nothing; a null or word-less text has an empty set and links with nothing; fewer than four words make
+Defined results: a NULL doc_id keeps NULL as its component and links with nothing; a null or word-less text has an empty set and links with nothing; fewer words than a shingle has make
 one shingle of the whole sequence; repeated documents link; extra columns are ignored.
 """
 
@@ -26,22 +27,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._store import Store, small
+from ._store import Store, lean, small
 from ._text import U, Words, buffers, mix, runs, sequences, signed, to_list
 
 
 @dataclass(frozen=True)
 class Params:
-    """``words`` per shingle, similarity ``percent``, ``groups`` per side of ``rows`` minhashes, ``seed``;
-    ``spread``: members of one leader that one task compares; ``block``: members of a block of open ones."""
+    """``words`` per shingle, similarity ``percent``, ``groups`` per side of ``rows`` minhashes, ``seed``; ``spread``: members
+    of one leader or bucket in one task; ``block``: members of a block of open ones, with ``block_shingles`` at most, about."""
 
-    words: int = 4
+    words: int = 5
     percent: int = 80
     groups: int = 12
     rows: int = 3
     seed: int = 7
     spread: int = 2000
     block: int = 320
+    block_shingles: int = 200_000
 
 
 def shingle_sets(batch_text, words: int) -> Iterator[np.ndarray]:
@@ -66,7 +68,7 @@ x0 = np.zeros(0, np.uint64)
 
 
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, n_shingles, d0, d1, lefts, rights): set size, 128-bit digest of the set, group keys of both sides."""
+    """(doc_id, text_hash, n_shingles, d0, d1, lefts, rights): set size, 128-bit digest of the set, group keys of both sides."""
     n = p.groups * p.rows * 2
     rng = np.random.default_rng(p.seed)
     mul = rng.integers(0, 1 << 63, n, dtype=np.uint64) * U(2) + U(1)
@@ -92,12 +94,13 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
             keys = mix((low.reshape(len(b), 2 * half, rows) * place).sum(axis=2, dtype=np.uint64))
             full = np.full(len(b), half)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(dig[:, 0].copy()), pa.array(dig[:, 1].copy()),
+                [b.column("doc_id").cast(pa.int64()), b.column("text_hash"), pa.array(size), pa.array(dig[:, 0].copy()), pa.array(dig[:, 1].copy()),
                  to_list(signed(keys[:, :half]).ravel(), full, pa.int64()), to_list(signed(keys[:, half:]).ravel(), full, pa.int64())],
-                names=["doc_id", "n_shingles", "d0", "d1", "lefts", "rights"],
+                names=["doc_id", "text_hash", "n_shingles", "d0", "d1", "lefts", "rights"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d0 long, d1 long, lefts array<long>, rights array<long>")
+    x = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return x.mapInArrow(lean(run), "doc_id long, text_hash long, n_shingles long, d0 long, d1 long, lefts array<long>, rights array<long>")
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
@@ -113,13 +116,26 @@ def table_keys(reps: DataFrame) -> DataFrame:
     return pair.select(F.xxhash64("l.slot", "l.key", "r.slot", "r.key").alias("bucket"), "rep")
 
 
-def bucket_members(keys: DataFrame, store: Store) -> DataFrame:
-    """(bucket, rep) of buckets with two members or more; of buckets with equal members one is kept."""
+def on_bucket(rows: DataFrame, per_bucket: DataFrame, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with one row per bucket (bucket, parts, ...), which a hot bucket has under each of its salts."""
+    right = per_bucket.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return rows.join(right, ["bucket", "salt"], how)
+
+
+def bucket_members(keys: DataFrame, p: Params, store: Store) -> DataFrame:
+    """(bucket, salt, parts, leader, rep) of buckets with two members or more, without the leader (the smallest) itself;
+    of buckets with equal members one is kept. A bucket with many members is dealt over ``parts`` salts."""
     keys = store.save(keys, "tables")
     h = F.xxhash64("rep")
     b = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s")).filter("n > 1")
-    kept = b.groupBy("n", "leader", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
-    out = store.save(keys.join(kept, "bucket", "left_semi").distinct(), "members")
+    kept = b.groupBy("n", "leader", "x", "s").agg(F.min("bucket").alias("bucket"))
+    kept = store.save(kept.select("bucket", "leader", F.ceil(F.col("n") / p.spread).cast("int").alias("parts")), "buckets")
+    hot = kept.filter("parts > 1").select("bucket", F.col("parts").alias("hot"))
+    n_hot = hot.count()
+    salt = F.pmod(F.xxhash64("rep"), F.coalesce("hot", F.lit(1))).cast("int")
+    rows = keys.join(small(hot, n_hot, 24), "bucket", "left") if n_hot else keys.withColumn("hot", F.lit(None).cast("int"))
+    rows = rows.select("bucket", "rep", salt.alias("salt"), F.coalesce("hot", F.lit(1)).alias("parts"))
+    out = store.save(on_bucket(rows, kept).filter("rep <> leader").select("bucket", "salt", "parts", "leader", "rep"), "members")
     store.drop(keys)
     return out
 
@@ -133,20 +149,36 @@ def send_sets(docs: DataFrame, todo: DataFrame, p: Params, store: Store) -> Data
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(shingle_sets(b.column("text"), words))
             to = b.column("to")
-            lens = to.value_lengths().to_numpy(zero_copy_only=False)
+            off = np.concatenate(([0], np.cumsum(to.value_lengths().to_numpy(zero_copy_only=False))))
             flat = to.flatten()
-            rows = np.repeat(np.arange(len(b)), lens)
+            leaders, parts = flat.field(0).to_numpy(), flat.field(1).to_numpy()
             ids = b.column("doc_id").to_numpy()
-            for a in range(0, len(rows), 512):  # a set may go to several places: bounded output batches
-                r = rows[a : a + 512]
-                yield pa.RecordBatch.from_arrays(
-                    [flat.field(0)[a : a + 512], flat.field(1)[a : a + 512], pa.array(ids[r]), to_list(signed(np.concatenate([sets[k] for k in r])), np.array([len(sets[k]) for k in r]), pa.int64())],
+            held, head = [], []
+
+            def flush(held=held, head=head):
+                h = np.array(head, np.int64).reshape(-1, 3)
+                out = pa.RecordBatch.from_arrays(
+                    [pa.array(h[:, 0].copy()), pa.array(h[:, 1].astype(np.int32)), pa.array(h[:, 2].copy()), to_list(signed(np.concatenate(held)), np.array([len(x) for x in held]), pa.int64())],
                     names=["leader", "part", "rep", "s"],
                 )
+                held.clear()
+                head.clear()
+                return out
 
-    return docs.select("doc_id", "text").join(side, "doc_id").mapInArrow(spread, "leader long, part int, rep long, s array<long>")
+            size = 0
+            for k, x in enumerate(shingle_sets(b.column("text"), words)):
+                for t in range(off[k], off[k + 1]):  # a set may go to several places: output batches bounded by bytes
+                    held.append(x)
+                    head.append((leaders[t], parts[t], ids[k]))
+                    size += len(x)
+                    if size > 1 << 18:
+                        yield flush()
+                        size = 0
+            if held:
+                yield flush()
+
+    return docs.select("doc_id", "text").join(side, "doc_id").mapInArrow(lean(spread), "leader long, part int, rep long, s array<long>")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, p: Params, store: Store) -> DataFrame:
@@ -156,8 +188,11 @@ def verify(docs: DataFrame, pairs: DataFrame, p: Params, store: Store) -> DataFr
     its own set to each. A task streams its rows: it holds one leader's set and one member's at a time.
     """
     pairs = store.save(pairs, "pairs")
-    load = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / p.spread).cast("int").alias("parts"))
-    placed = pairs.join(load, "leader").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    load = store.save(pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / p.spread).cast("int").alias("parts")), "load")
+    hot = load.filter("parts > 1")
+    n_hot = hot.count()
+    placed = pairs.join(small(hot, n_hot, 24), "leader", "left") if n_hot else pairs.withColumn("parts", F.lit(1))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int"))
     own = load.select(F.col("leader").alias("rep"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     todo = placed.select("rep", "leader", "part").union(own)
     todo = todo.groupBy("rep").agg(F.collect_list(F.struct("leader", "part")).alias("to"))
@@ -184,100 +219,135 @@ def verify(docs: DataFrame, pairs: DataFrame, p: Params, store: Store) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(o[:, 0].copy()), pa.array(o[:, 1].copy())], names=["a", "b"])
 
     sent = send_sets(docs, todo, p, store).repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("rep") != F.col("leader"), "rep")
-    return store.save(sent.mapInArrow(compare, "a long, b long"), "links")
+    return store.save(sent.mapInArrow(lean(compare), "a long, b long"), "links")
+
+
+def blocks_of(rest: DataFrame, sizes: DataFrame, p: Params, store: Store) -> DataFrame:
+    """(g, rep, own, minor, total): the block of each open member in its group.
+
+    Open buckets with a member in common are one group. Blocks 0 to ``minor`` - 1 hold the members outside the group's
+    largest component, the others up to ``total`` those inside it, which need no comparing among themselves. A block holds
+    about ``block`` members, or fewer if their sets are large.
+    """
+    low = rest.groupBy("bucket", "parts").agg(F.min("rep").alias("b"))
+    group = components(on_bucket(rest, low).select(F.col("rep").alias("a"), "b"), store)
+    home = rest.select("rep", "comp").distinct().join(group.select(F.col("id").alias("rep"), F.col("component").alias("g")), "rep").join(sizes, "rep")
+    home = store.save(home.groupBy("g", "rep", "comp").agg(F.max("n_shingles").alias("n_shingles")), "groups")
+    count = home.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    count = store.save(count, "counts")
+    most = count.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"))
+    count = count.join(most, "g").withColumn("major", F.col("comp") == F.col("top"))
+    cut = lambda major: F.greatest(
+        F.ceil(F.sum(F.when(F.col("major") == major, F.col("n")).otherwise(0)) / p.block), F.ceil(F.sum(F.when(F.col("major") == major, F.col("w")).otherwise(0)) / p.block_shingles)
+    ).cast("int")
+    count = count.groupBy("g", "top").agg(cut(False).alias("minor"), cut(True).alias("rest")).withColumn("total", F.col("minor") + F.col("rest"))
+    x = home.join(count, "g")
+    h = F.xxhash64("rep")
+    own = F.when(F.col("comp") == F.col("top"), F.col("minor") + F.pmod(h, F.col("rest"))).otherwise(F.pmod(h, F.col("minor"))).cast("int")
+    return store.save(x.select("g", "rep", own.alias("own"), "minor", "total"), "blocks")
 
 
-def block_links(docs: DataFrame, rest: DataFrame, p: Params, store: Store) -> DataFrame:
-    """(a, b) links among members (bucket, rep) of buckets that are still open.
+def block_links(docs: DataFrame, rest: DataFrame, sizes: DataFrame, p: Params, store: Store) -> DataFrame:
+    """(a, b) links among members (bucket, salt, parts, rep, comp) of buckets that are still open.
 
-    Open buckets with a member in common are one group. A group of up to ``block`` members is compared in one piece;
-    a larger one is cut into blocks, and every two blocks are a piece. All pairs of a piece are counted at once by
-    matrix products over their shingles, and only a spanning set of links leaves the task.
+    Every two blocks of a group are a piece, unless both lie in its largest component, and so is each block of the others
+    with itself. All pairs of a piece are counted at once by matrix products over the shingles that both sides have, and
+    only a spanning set of links leaves the task.
     """
-    low = rest.groupBy("bucket").agg(F.min("rep").alias("b"))
-    group = components(rest.join(low, "bucket").select(F.col("rep").alias("a"), "b"), store)
-    group = store.save(group.select(F.col("id").alias("rep"), F.col("component").alias("g")), "groups")
-    cut = group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("cut"))
-    home = group.join(cut, "g").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other")
-    sides = home.select("rep", "g", "own", other)
-    # two blocks make a piece, which also compares each with itself; a group of one block is a piece of its own
+    x = blocks_of(rest, sizes, p, store)
+    small_end = F.when(F.col("own") < F.col("minor"), F.col("total")).otherwise(F.col("minor"))
+    # pieces (i, j) with i <= j and i below ``minor``; ``part`` tells the sides apart
+    x = x.select("g", "rep", "own", F.explode(F.sequence(F.lit(0), small_end - 1)).alias("other"))
     key = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))
-    sides = sides.filter("own <> other").select("rep", key.alias("leader")).union(home.filter("cut = 1").select("rep", F.xxhash64("g", F.lit(0), F.lit(0)).alias("leader")))
-    todo = sides.groupBy("rep").agg(F.collect_list(F.struct("leader", F.lit(0).alias("part"))).alias("to"))
+    todo = x.select("rep", F.struct(key.alias("leader"), (F.col("own") > F.col("other")).cast("int").alias("part")).alias("to"))
+    todo = todo.groupBy("rep").agg(F.collect_list("to").alias("to"))
     percent = p.percent
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
-
-        def links():
-            ids = np.array([r for r, _ in held])
-            size = np.array([len(x) for _, x in held])
-            col = np.unique(np.concatenate([x for _, x in held]), return_inverse=True)[1]
-            row = np.repeat(np.arange(len(ids)), size)
-            order = np.argsort(col, kind="stable")
-            col, row = col[order], row[order]
-            both = np.zeros((len(ids), len(ids)), np.float32)
-            edge = np.searchsorted(col, np.arange(0, (col[-1] if len(col) else 0) + 4097, 4096))
-            for k in range(len(edge) - 1):
-                m = np.zeros((len(ids), 4096), np.float32)
-                m[row[edge[k] : edge[k + 1]], col[edge[k] : edge[k + 1]] - 4096 * k] = 1
-                both += m @ m.T
-            union = size[:, None] + size[None, :] - both
-            near = np.argwhere(np.triu(100 * both >= percent * union, 1))
-            root = np.arange(len(ids))
-            out = []
-            for i, j in near.tolist():
-                while root[i] != i:
-                    root[i] = i = root[root[i]]
-                while root[j] != j:
-                    root[j] = j = root[root[j]]
-                if i != j:
-                    root[max(i, j)] = min(i, j)
-                    out.append((ids[i], ids[j]))
-            o = np.array(out, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(o[:, 0].copy()), pa.array(o[:, 1].copy())], names=["a", "b"])
+    def links(ids: list[list[int]], sets: list[list[np.ndarray]]) -> pa.RecordBatch:
+        alone = not ids[1]
+        if alone:
+            ids, sets = [ids[0], ids[0]], [sets[0], sets[0]]
+        size = [np.array([len(x) for x in s]) for s in sets]
+        cols = [np.concatenate(s) for s in sets]
+        rows = [np.repeat(np.arange(len(n)), n) for n in size]
+        shared = np.unique(cols[0])
+        if not alone:
+            shared = np.intersect1d(shared, cols[1])
+        for k in (0, 1):
+            at = np.minimum(np.searchsorted(shared, cols[k]), len(shared) - 1) if len(shared) else np.zeros(len(cols[k]), np.int64)
+            ok = np.flatnonzero(shared[at] == cols[k]) if len(shared) else at[:0]
+            order = np.argsort(at[ok], kind="stable")
+            cols[k], rows[k] = at[ok][order], rows[k][ok][order]
+        both = np.zeros((len(size[0]), len(size[1])), np.float32)
+        step = 4096
+        for a in range(0, len(shared), step):
+            m = []
+            for k in (0, 1):
+                s = slice(*np.searchsorted(cols[k], [a, a + step]))
+                m.append(np.zeros((len(size[k]), step), np.float32))
+                m[k][rows[k][s], cols[k][s] - a] = 1
+            both += m[0] @ m[1].T
+        hit = 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
+        near = np.argwhere(np.triu(hit, 1) if alone else hit)
+        root: dict[int, int] = {}
+        out = []
+        for i, j in near.tolist():
+            a, b = ids[0][i], ids[1][j]
+            ra, rb = a, b
+            while root.get(ra, ra) != ra:
+                root[ra] = ra = root.get(root[ra], root[ra])
+            while root.get(rb, rb) != rb:
+                root[rb] = rb = root.get(root[rb], root[rb])
+            if ra != rb:
+                root[max(ra, rb)] = min(ra, rb)
+                out.append((a, b))
+        o = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(o[:, 0].copy()), pa.array(o[:, 1].copy())], names=["a", "b"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sets, at = [[], []], [[], []], None
         for b in batches:
-            leaders, reps, s = b.column("leader").to_numpy(), b.column("rep").to_numpy(), b.column("s")
+            leaders, part, reps, s = b.column("leader").to_numpy(), b.column("part").to_numpy(), b.column("rep").to_numpy(), b.column("s")
             off, flat = s.offsets.to_numpy(), s.values.to_numpy().view(np.uint64)
             for k in range(len(b)):
                 if leaders[k] != at:
-                    if held:
-                        yield links()
-                    held, at = [], leaders[k]
-                held.append((reps[k], flat[off[k] : off[k + 1]].copy()))
-        if held:
-            yield links()
+                    if ids[0]:
+                        yield links(ids, sets)
+                    ids, sets, at = [[], []], [[], []], leaders[k]
+                ids[part[k]].append(int(reps[k]))
+                sets[part[k]].append(flat[off[k] : off[k + 1]].copy())
+        if ids[0]:
+            yield links(ids, sets)
 
-    sent = send_sets(docs, todo, p, store).repartition("leader").sortWithinPartitions("leader", "rep")
-    return store.save(sent.mapInArrow(compare, "a long, b long"), "links")
+    sent = send_sets(docs, todo, p, store).repartition("leader").sortWithinPartitions("leader", "part", "rep")
+    return store.save(sent.mapInArrow(lean(compare), "a long, b long"), "links")
 
 
-def link_classes(docs: DataFrame, members: DataFrame, p: Params, store: Store) -> DataFrame:
+def link_classes(docs: DataFrame, members: DataFrame, sizes: DataFrame, p: Params, store: Store) -> DataFrame:
     """(a, b) links that connect every pair of candidate classes that is similar enough, directly or by others."""
     # first every bucket's members against its smallest one
-    low = members.groupBy("bucket").agg(F.min("rep").alias("leader"))
-    star = store.save(members.join(low, "bucket").filter("rep <> leader"), "star")
-    links = verify(docs, star.select("rep", "leader").distinct(), p, store)
+    links = verify(docs, members.select("rep", "leader").distinct(), p, store)
     # what is left open lies among the others, where they are not in one component yet
     comp = components(links, store).withColumnRenamed("id", "rep").withColumnRenamed("component", "comp")
-    state = store.save(star.select("bucket", "rep").join(comp, "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp")), "state")
-    open_ = state.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = store.save(state.join(open_, "bucket", "left_semi").select("bucket", "rep"), "rest")
-    return links.union(block_links(docs, rest, p, store)) if rest.limit(1).count() else links
+    state = members.join(comp, "rep", "left").select("bucket", "salt", "parts", "rep", F.coalesce("comp", "rep").alias("comp"))
+    state = store.save(state, "state")
+    open_ = state.groupBy("bucket", "parts").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket", "parts")
+    rest = store.save(on_bucket(state, open_, "left_semi"), "rest")
+    return links.union(block_links(docs, rest, sizes, p, store)) if rest.limit(1).count() else links
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and set_id (the smallest id with an equal set)."""
+    """One row per document: doc_id, n_shingles, component_id, kept, set_id (the smallest id with an equal set), and
+    text_hash (xxhash64 of the text, which tells rows of one doc_id apart)."""
     store = Store(docs.sparkSession)
     sig = store.save(signatures(docs, p), "signatures")
     full = sig.filter("n_shingles > 0 and doc_id is not null")
     same = full.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     same = store.save(same, "classes")
     reps = full.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "lefts", "rights")
-    members = bucket_members(table_keys(reps), store)
-    links = link_classes(docs, members, p, store)
+    members = bucket_members(table_keys(reps), p, store)
+    sizes = full.select(F.col("doc_id").alias("rep"), "n_shingles")
+    links = link_classes(docs, members, sizes, p, store)
     comp = store.save(components(links, store), "components")
     # only classes of several documents or with a link need a lookup; a hot class is dealt over salted keys
     salts = 16
@@ -285,12 +355,12 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     cls = cls.select("d0", "d1", "rep", F.coalesce("component", "rep").alias("component"), F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 64, salts - 1).otherwise(0))).alias("salt"), (F.col("n") > 64).alias("hot"))
     hot = cls.filter("hot and salt = 0").select("d0", "d1").withColumn("is_hot", F.lit(True))
     hot = small(hot, same.filter("n > 64").count(), 40)
-    rows = sig.select("doc_id", "n_shingles", "d0", "d1").join(hot, ["d0", "d1"], "left")
+    rows = sig.select("doc_id", "text_hash", "n_shingles", "d0", "d1").join(hot, ["d0", "d1"], "left")
     rows = rows.withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0).cast("int"))
     out = rows.join(cls.drop("hot"), ["d0", "d1", "salt"], "left")
     out = out.select(
-        "doc_id", "n_shingles",
+        "doc_id", "text_hash", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("set_id"),
     )
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "set_id")
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "set_id", "text_hash")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Store
+from ._store import Store, lean
 from ._text import U, Words, buffers, mix, runs, sequences, to_list
 
 # Common English insults.
@@ -141,7 +141,7 @@ def toxic_words(docs: DataFrame, labels: DataFrame | None, p: Params) -> np.ndar
                 u, inv = np.unique(pair[1], return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(inv, t == 1, len(u)).astype(np.int64)), pa.array(np.bincount(inv, minlength=len(u)))], names=["h", "bad", "n"])
 
-    c = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").mapInArrow(run, "h long, bad long, n long")
+    c = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").mapInArrow(lean(run), "h long, bad long, n long")
     c = c.groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).filter((F.col("bad") >= p.least_docs) & (F.col("bad") >= p.purity * F.col("n")))
     got = c.select("h").toArrow().column("h").to_numpy().view(np.uint64)  # at most the words of the bounded labelled set
     return np.unique(np.concatenate((fixed, got)))
@@ -242,7 +242,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, p: Params = Param
                     u, n = np.unique(pattern(v), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(n)], names=["task", "pattern", "n"])
 
-    found = docs.select("text").mapInArrow(vote, "task int, pattern long, n long").groupBy("task", "pattern").agg(F.sum("n").alias("n")).collect()  # at most 3^7 + 3^5 rows
+    found = docs.select("text").mapInArrow(lean(vote), "task int, pattern long, n long").groupBy("task", "pattern").agg(F.sum("n").alias("n")).collect()  # at most 3^7 + 3^5 rows
     posts = []
     for kind, m, prior in ((0, len(FEATURES), 0.8), (1, lists, 0.1)):
         rows = [(r["pattern"], r["n"]) for r in found if r["task"] == kind]
@@ -268,7 +268,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, p: Params = Param
                 size = np.bincount(r, minlength=w.n)[: w.n]
                 yield pa.RecordBatch.from_arrays([to_list(k.astype(np.int32), size, pa.int32()), to_list(f.ravel(), np.full(w.n, f.shape[1]), pa.float64()), pa.array(posts[0][pattern(q)]), pa.array(posts[1][pattern(t)])], names=["k", "f", "q", "t"])
 
-    got = docs.filter(pick).select("text").mapInArrow(sample, "k array<int>, f array<double>, q double, t double").toArrow()
+    got = docs.filter(pick).select("text").mapInArrow(lean(sample), "k array<int>, f array<double>, q double, t double").toArrow()
     if got.num_rows:
         ks = got.column("k").combine_chunks()
         off, flat = ks.offsets.to_numpy(), ks.values.to_numpy().astype(np.int64)
@@ -300,7 +300,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, p: Params = Param
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, mask=none) for x in cat[:4])], names=["doc_id", "quality", "toxic", "quality_posterior", "toxic_posterior"])
 
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = x.mapInArrow(run, "doc_id long, quality double, toxic double, quality_posterior double, toxic_posterior double")
+    out = x.mapInArrow(lean(run), "doc_id long, quality double, toxic double, quality_posterior double, toxic_posterior double")
     # a document is toxic if either the labellers or the scorer say so with confidence
     toxic = F.greatest("toxic", "toxic_posterior")
     kept = F.coalesce((F.col("quality") >= p.keep_quality) & (toxic < p.drop_toxic), F.lit(False))

@@ -30,7 +30,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), neardup.Params(words=4)).drop("text_hash")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.choose(_table(spark, sf_dir, "documents"))
+    return mixing.choose(_table(spark, sf_dir, "documents")).drop("row_hash")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

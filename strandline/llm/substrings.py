@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import Store, small
+from ._store import Store, lean, small
 from ._text import Words, buffers, runs, sequences, signed, to_list
 
 
@@ -100,7 +100,7 @@ def anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
             if fps:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(fps))), pa.array(np.concatenate(who)), pa.array(np.concatenate(at).astype(np.int32))], names=["fp", "doc_id", "pos"])
 
-    return docs.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(run, "fp long, doc_id long, pos int")
+    return docs.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(lean(run), "fp long, doc_id long, pos int")
 
 
 class Automaton:
@@ -238,7 +238,7 @@ def shard_rows(docs: DataFrame, asked: DataFrame, p: Params) -> DataFrame:
                 tails.clear()
 
     sent = docs.select("doc_id", "text").join(asked.hint("merge"), "doc_id")
-    return sent.mapInArrow(run, "shard int, part int, kind int, doc_id long, start int, w array<long>, pos array<int>")
+    return sent.mapInArrow(lean(run), "shard int, part int, kind int, doc_id long, start int, w array<long>, pos array<int>")
 
 
 def match(rows: DataFrame, p: Params) -> DataFrame:
@@ -291,7 +291,7 @@ def match(rows: DataFrame, p: Params) -> DataFrame:
                 )
 
     dealt = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "doc_id", "start")
-    return dealt.mapInArrow(run, "doc_id long, starts array<int>, spans array<int>, left_at array<int>, left_fp array<long>")
+    return dealt.mapInArrow(lean(run), "doc_id long, starts array<int>, spans array<int>, left_at array<int>, left_fp array<long>")
 
 
 def repeated_spans(docs: DataFrame, p: Params, store: Store) -> DataFrame:
@@ -366,7 +366,7 @@ def remove_repeats(docs: DataFrame, p: Params = Params(), carry: bool = False) -
 
     schema = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>"
     if not carry:
-        return docs.select("doc_id", "text").join(spans.hint("merge"), "doc_id", "left").mapInArrow(run, schema)
+        return docs.select("doc_id", "text").join(spans.hint("merge"), "doc_id", "left").mapInArrow(lean(run), schema)
     row = F.struct(*docs.columns).alias("row")
     x = docs.select("doc_id", "text", row).join(spans.hint("merge"), "doc_id", "left")
-    return x.mapInArrow(both, T.StructType.fromDDL(schema).add("row", x.schema["row"].dataType))
+    return x.mapInArrow(lean(both), T.StructType.fromDDL(schema).add("row", x.schema["row"].dataType))

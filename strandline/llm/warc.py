@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import Store, shared_dir
+from ._store import Store, lean, shared_dir
 
 MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
@@ -203,7 +203,7 @@ def write_archives(records: DataFrame, uri: str, dictionary: bytes, p: Params) -
         if n:
             yield close()
 
-    return records.mapInArrow(run, "name string, records long, bytes long")
+    return records.mapInArrow(lean(run), "name string, records long, bytes long")
 
 
 def read_archives(spark: SparkSession, uri: str, names: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def read_archives(spark: SparkSession, uri: str, names: DataFrame) -> DataFrame:
                         raise FormatError(f"{name}: {n} records, {records} were written")
 
     wide = names.select("name", "records").repartition(max(spark.sparkContext.defaultParallelism, 1) * 2)
-    return wide.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    return wide.mapInArrow(lean(run), "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
 RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])

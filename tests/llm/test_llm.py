@@ -43,11 +43,11 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def near_brute(rows):
+def near_brute(rows, n=4):
     sets = {}
     for i, t in rows:
         w = WORD.findall(lower(t))
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
     up = {i: i for i in sets}
 
     def find(x):
@@ -56,8 +56,8 @@ def near_brute(rows):
         return x
 
     for a, b in itertools.combinations(sorted(sets), 2):
-        n = len(sets[a] & sets[b])
-        if n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
             x, y = find(a), find(b)
             up[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
@@ -104,8 +104,8 @@ def copies(spark):
 def test_neardup(spark, copies):
     rows, df = copies
     want = near_brute(rows)
-    for block in (320, 8):
-        got = neardup.near_duplicates(df, neardup.Params(block=block)).collect()
+    for p in (neardup.Params(words=4), neardup.Params(words=4, block=8, spread=5), neardup.Params(words=4, block_shingles=900)):
+        got = neardup.near_duplicates(df, p).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
@@ -136,7 +136,7 @@ def test_automaton_finds_all_substrings():
 
 def test_odd_documents(spark, odd):
     near = {(r["doc_id"], r["n_shingles"]): r for r in neardup.near_duplicates(odd).collect()}
-    assert near[2, 0]["kept"] and near[6, 29998]["component_id"] == 5 and near[8, 1]["component_id"] == 7
+    assert near[2, 0]["kept"] and near[6, 29997]["component_id"] == 5 and near[8, 1]["component_id"] == 7
     cut = {r["doc_id"]: r for r in substrings.remove_repeats(odd).collect()}
     assert (cut[2]["n_words"], cut[5]["n_removed"], cut[6]["kept_text"], cut[10]["n_removed"]) == (0, 0, "tail", 0)
     lang = {r["doc_id"]: r for r in langid.identify(odd).collect()}
@@ -363,7 +363,7 @@ def test_oracles(spark, name):
 def test_pipeline(spark):
     rows = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = corpus_pipeline.run(spark, SF).collect()
-    near = near_brute([(i, r["text"]) for i, r in rows.items()])
+    near = near_brute([(i, r["text"]) for i, r in rows.items()], 5)
     kept = {i: rows[i]["text"] for i, (_, c) in near.items() if c == i}
     cut = cut_brute(list(kept.items()))
     texts = {i: (t if cut[i][1] == 0 else cut[i][2]) for i, t in kept.items()}
