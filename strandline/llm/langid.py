@@ -23,9 +23,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ._store import Store
+from ._store import Store, lean
 from ._text import U, buffers, mix, runs
 
 
@@ -117,7 +118,7 @@ def train(docs: DataFrame, p: Params, store: Store) -> Model:
                 names=["lang", "code", "n"],
             )
 
-    grams = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    grams = rows.mapInArrow(lean(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     grams = store.save(grams, "grams")
     langs = grams.groupBy("lang").agg(F.sum(F.when(F.col("code") >= 0, F.col("n")).otherwise(0)).alias("total"), F.sum(F.when(F.col("code") < 0, F.col("n"))).alias("docs")).collect()
     langs.sort(key=lambda r: r["lang"])
@@ -138,15 +139,16 @@ def train(docs: DataFrame, p: Params, store: Store) -> Model:
             mask = (U(1) << (bits % 64).astype(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array((bits // 64).astype(np.int32)), pa.array(mask)], names=["at", "word", "mask"])
 
-    filled = g.mapInArrow(place, "at long, word int, mask long").groupBy("at", "word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most one row per position
+    filled = g.mapInArrow(lean(place), "at long, word int, mask long").groupBy("at", "word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most one row per position
     table[filled.column("word").to_numpy(), filled.column("at").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
     fill = np.array([np.count_nonzero((table[k // 64] >> U(k % 64)) & U(1)) / p.positions for k in range(len(names))])
     most = max(langs, key=lambda r: r["docs"] or 0)
     return Model(names, table, fill**p.hashes, most["lang"])
 
 
-def identify(docs: DataFrame, p: Params = Params(), model: Model | None = None) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score (the corrected share of n-grams the language holds)."""
+def identify(docs: DataFrame, p: Params = Params(), model: Model | None = None, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score (the corrected share of n-grams the language holds), and
+    with ``carry`` the document's own row as the struct ``row``."""
     store = Store(docs.sparkSession)
     model = model or train(docs, p, store)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -180,8 +182,11 @@ def identify(docs: DataFrame, p: Params = Params(), model: Model | None = None)
             pred = names[best]
             pred[letters & (score <= 0)] = m.fallback or "und"
             pred[~letters] = "und"
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+            out = [b.column("doc_id"), b.column("held_out"), pa.array(pred, pa.string()), pa.array(score)]
+            kept = ["row"] if carry else []
+            yield pa.RecordBatch.from_arrays([*out, *(b.column(c) for c in kept)], names=["doc_id", "held_out", "lang_pred", "score", *kept])
 
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(p.folds)) == p.held, F.lit(False))
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    return x.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text", *([F.struct(*docs.columns).alias("row")] if carry else []))
+    schema = T.StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double")
+    return x.mapInArrow(lean(run), schema.add("row", x.schema["row"].dataType) if carry else schema)

@@ -54,9 +54,14 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(docs["text"], F.coalesce(docs["lang"], F.lit("(none)")), F.coalesce(docs["source"], F.lit("(none)")))
+
+
 def with_leaf(docs: DataFrame) -> DataFrame:
     return docs.select(
-        F.col("doc_id"), domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("(none)")).alias("lang"), F.coalesce("source", F.lit("(none)")).alias("source"),
+        F.col("doc_id"), row_hash(docs).alias("row_hash"), domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("(none)")).alias("lang"), F.coalesce("source", F.lit("(none)")).alias("source"),
         tokens_of(F.col("text")).alias("tokens"),
     )
 
@@ -108,7 +113,7 @@ def order_key(p: Params, epoch: Column) -> Column:
 
 
 def choose(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """One row per document: doc_id, domain, lang, source, tokens, copies (how often it is taken)."""
+    """One row per document: doc_id, domain, lang, source, tokens, copies (how often it is taken), row_hash."""
     store = Store(docs.sparkSession)
     slim = store.save(with_leaf(docs), "slim")
     leaf = budgets(slim, p, store)
@@ -125,18 +130,29 @@ def choose(docs: DataFrame, p: Params = Params()) -> DataFrame:
     cut = sums.filter("upto > rest").groupBy(*LEVELS).agg(F.min("slice").alias("cut"), F.min_by(F.col("upto") - F.col("t"), "slice").alias("before"))
     cut = store.save(cut, "cuts")
     rows = rows.join(small(cut, n, 120), list(LEVELS), "left")
-    inside = W.partitionBy(*LEVELS).orderBy("k", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy(*LEVELS).orderBy("k", "doc_id", "row_hash").rowsBetween(W.unboundedPreceding, W.currentRow)
     edge = rows.filter("slice = cut").withColumn("run", F.col("before") + F.sum("tokens").over(inside))
     # the prefix ends at the first document that would go beyond the rest
     edge = edge.withColumn("over", F.max((F.col("run") > F.col("rest")).cast("int")).over(inside)).withColumn("more", F.col("over") == 0)
     rest = rows.filter("cut is null or slice <> cut").withColumn("more", (F.col("leaf_tokens") > 0) & (F.col("cut").isNull() | (F.col("slice") < F.col("cut"))) & (F.col("rest") > 0))
-    cols = ["doc_id", *LEVELS, "tokens", "epoch", "more"]
+    cols = ["doc_id", "row_hash", *LEVELS, "tokens", "epoch", "more"]
     both = rest.select(*cols).unionByName(edge.withColumn("more", F.col("more") & (F.col("rest") > 0)).select(*cols))
-    return both.select("doc_id", *LEVELS, "tokens", (F.col("epoch") + F.col("more").cast("long")).alias("copies"))
+    return both.select("doc_id", *LEVELS, "tokens", (F.col("epoch") + F.col("more").cast("long")).alias("copies"), "row_hash")
 
 
 def mix(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The chosen documents with all their columns and ``copies``."""
+    """The chosen documents with all their columns and ``copies``, which replaces a column of that name.
+
+    Rows that agree in doc_id, text, lang and source become one, which has the copies of all of them.
+    """
     store = Store(docs.sparkSession)
-    picked = store.save(choose(docs, p).select("doc_id", "copies").filter("copies > 0").dropDuplicates(["doc_id"]), "picked")
-    return docs.join(small(picked, picked.count(), 32), "doc_id")
+    docs = docs.drop("copies")
+    picked = choose(docs, p).groupBy("doc_id", "row_hash").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+    picked = store.save(picked.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "copies", "rows"), "picked")
+    shape = picked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("rows"), F.lit(0)).alias("most")).first()
+    key = (row_hash(docs) == picked["_hash"]) & docs["doc_id"].eqNullSafe(picked["_id"])
+    out = docs.join(small(picked, shape["n"], 48), key)
+    if shape["most"] > 1:
+        one = out.filter("rows > 1").dropDuplicates(["_id", "_hash"])
+        out = out.filter("rows = 1").unionByName(one)
+    return out.select(*[docs[c] for c in docs.columns], picked["copies"])
