@@ -16,46 +16,65 @@ from strandline.llm._store import Store, small
 LEAST_LANGUAGE = 0.2
 
 
-def _pick(docs: DataFrame, ids: DataFrame, store: Store) -> DataFrame:
-    """The documents whose id is in ``ids``, all columns as they are, one row per id."""
-    ids = store.save(ids.select("doc_id").distinct(), "picked")
-    out = docs.join(small(ids, ids.count(), 16), "doc_id", "left_semi")
-    twice = store.save(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "twice")
-    n = twice.count()
-    if not n:
-        return out
-    twice = small(twice, n, 16)
-    once = out.join(twice, "doc_id", "left_anti")
-    return once.unionByName(out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; ``lang`` stays what it was."""
-    found = langid.identify(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
-    return _pick(docs, found, Store(spark)).select(docs.columns)
+    """Documents with a recognised language; ``lang`` stays what it was.
+
+    Rows are judged one by one by their text, also those with NULL or repeated doc_ids. NULL, empty and letterless
+    texts have no language and go; very long ones are read whole; an empty table stays empty; columns come through as
+    they are, whatever their names.
+    """
+    found = langid.identify(docs, carry=True)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group."""
-    return _pick(docs, neardup.near_duplicates(docs).filter("kept"), Store(spark)).select(docs.columns)
+    """One document of each group, that with the smallest doc_id.
+
+    A NULL doc_id links with nothing and stays; texts without words stay; of rows with one doc_id each distinct text is
+    judged for itself, and of those that agree in both one stays; an empty table stays empty; extra columns come along.
+    """
+    store = Store(spark)
+    found = store.save(neardup.near_duplicates(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept"), "found")
+    per = found.filter("_id is not null").groupBy("_id", "_hash").agg(F.every("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    odd = store.save(per.filter("not kept or n > 1"), "odd")
+    count = odd.agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("again")).first()
+    odd = small(odd, count["n"], 32)
+    key = (docs["doc_id"] == odd["_id"]) & (F.xxhash64(docs["text"]) == odd["_hash"])
+    out = docs.join(odd, key, "left_anti")
+    if count["again"]:
+        out = out.unionByName(docs.join(odd.filter("kept"), key).dropDuplicates(["_id", "_hash"]).select(*[docs[c] for c in docs.columns]))
+    return out
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier document has; a document with nothing left goes."""
+    """Texts without passages that an earlier document has; a document with nothing left goes.
+
+    Texts without repeats stay as they are, NULL and empty ones too; a NULL doc_id and rows of one doc_id take nothing
+    from each other; an empty table stays empty; extra columns come along.
+    """
     x = substrings.remove_repeats(docs, carry=True).filter("n_removed = 0 or n_words > n_removed")
     changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))}
-    return x.select(*[new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return x.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    clean = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("kept")
-    return _pick(docs, clean, Store(spark)).select(docs.columns)
+    """Documents without a benchmark passage.
+
+    Rows are judged one by one by their whole text, also those with NULL or repeated doc_ids; NULL and empty texts are
+    clean; an empty table stays empty; columns come through as they are.
+    """
+    return decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True).filter("kept").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target weights choose, with ``copies``."""
+    """The documents that the target weights choose, with ``copies``.
+
+    A NULL doc_id is taken like any other; texts without tokens have no copies and go; rows that agree in doc_id, text,
+    lang and source become one with the copies of all; a column named ``copies`` is replaced; an empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
