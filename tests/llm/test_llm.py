@@ -1,5 +1,6 @@
 """Brute force, round trips, held-out accuracy and odd inputs for the training-data operators."""
 
+import functools
 import itertools
 import re
 import sys
@@ -224,6 +225,62 @@ def test_decontaminate_edits(spark):
     assert got == {1: False, 2: False, 3: True, 4: False, 5: True}
 
 
+def edit_brute(item, text):
+    """Least edits between the item and any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item):
+        new = [i + 1]
+        for j, b in enumerate(text):
+            new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def contaminated(text, items, p):
+    plain = lambda t: re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", (t or "").lower()).strip()
+    x, out = plain(text), set()
+    for k, t in items:
+        t = plain(t)
+        if not t:
+            continue
+        if len(t) < p.q:
+            hit = x == t
+        elif len(t) < p.least:
+            hit = f" {t} " in f" {x} "
+        else:
+            m = min(len(t), p.width)
+            starts = [*range(0, len(t) - m, p.stride), len(t) - m]
+            hit = any(edit_brute(t[s : s + m], x) <= min(int(m * p.edits), m // p.q - 1) for s in starts)
+        if hit:
+            out.add(k)
+    return sorted(out)
+
+
+def test_decontaminate_brute(spark):
+    """Whole items, parts, short items and edits at every level against a search without filters, with one and many shards."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(200)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    items = [(k, say(n)) for k, n in enumerate((9, 14, 30, 40, 4, 3, 2))] + [(7, "Xy z"), (8, None), (9, "...")]
+    rows = []
+    for _, t in items[:8]:
+        for edits in range(0, 12, 2):
+            hurt = list(t)
+            for at in rng.choice(len(hurt), min(edits, len(hurt)), replace=False):
+                hurt[at] = str(rng.choice(["", "Q", hurt[at] + "qq"]))
+            hurt = "".join(hurt)
+            lo = int(rng.integers(0, max(1, len(hurt) - 130)))
+            rows += [(len(rows), say(12) + ", " + hurt + "! " + say(9)), (len(rows) + 1, say(5) + " " + hurt[lo : lo + 130] + " " + say(5))]
+    rows += [(0, "xy  Z"), (0, "a xy z"), (None, items[2][1]), (None, ""), (None, None), (3, say(40)), (3, "é" * 50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for p in (decontaminate.Params(), decontaminate.Params(shard_chars=60)):
+        got = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), bench, p, carry=True).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["item_ids"] == contaminated(r["row"]["text"], items, p), r
+            assert r["kept"] == (not r["item_ids"]) and r["doc_id"] == r["row"]["doc_id"] and (r["best_edits"] is None) == r["kept"]
+
+
 def test_langid_held_out(spark, docs):
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
@@ -284,40 +341,67 @@ def test_lm_training_grows():
     assert lmscore.steps_of(10, p) == p.steps and lmscore.steps_of(10**6, p) * p.batch >= 4 * 10**6
 
 
-def test_chat(spark):
-    m = chat.Machine(chat.Params())
-    p = chat.Params()
+def chat_brute(roles, p):
+    """Least cost over all legal outputs, from the rules alone: every source turn goes into some output turn, in order."""
+    legal = {"": ("s", "u"), "s": ("u",), "u": ("a",), "a": ("u",)}
+    ends = {"": 0, "a": 0, "u": p.insert, "s": 2 * p.insert}
 
-    def brute(roles):
-        best = {chat.START: 0}
-        for r in roles:
-            nxt = {}
-            for s, t, c, *_ in m.steps[r]:
-                if s in best:
-                    nxt[t] = min(nxt.get(t, 1 << 40), best[s] + c)
-            best = nxt
-        return min(c + m.close[s][0] for s, c in best.items())
+    def open_turn(state, role):
+        """Costs of opening a turn of this role: directly, or behind one empty turn."""
+        if role in legal[state]:
+            yield 0
+        for x in legal[state]:
+            if x != "s" and role in legal[x]:
+                yield p.insert
 
+    @functools.cache
+    def least(k, state):
+        if k == len(roles):
+            return ends[state]
+        found = []
+        if state:
+            found.append(p.merge + (p.relabel if roles[k] != state else 0) + least(k + 1, state))
+        for role in "sua":
+            for c in open_turn(state, role):
+                found.append(c + (p.relabel if roles[k] != role else 0) + least(k + 1, role))
+        return min(found)
+
+    return least(0, "")
+
+
+def test_chat(spark):
+    p = chat.Params()
     rng = np.random.default_rng(4)
-    names = [None, "system", "user", "assistant"]
-    convs = {c: rng.integers(0, 4, int(rng.integers(1, 30))).tolist() for c in range(25)}
-    rows = [(c, k, names[r], f"t{k}") for c, rs in convs.items() for k, r in enumerate(rs)]
+    names = [None, "system", "user", "assistant", "tool"]
+    convs = {c: rng.integers(0, 5, int(rng.integers(1, 30))).tolist() for c in range(40)}
+    rows = [(c, k * 1000, names[r], f"t{k}") for c, rs in convs.items() for k, r in enumerate(rs)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     whole = {}
-    for part in (512, 3):
-        got = defaultdict(list)
-        for r in chat.repair(df, chat.Params(part=part)).collect():
-            got[r["conv_id"]].append(r)
+    for part, tasks in ((512, 1), (3, 4)):
+        got = {r["conv_id"]: r for r in chat.repair(df.repartition(tasks), chat.Params(part=part)).collect()}
+        assert set(got) == set(convs)
         for c, rs in convs.items():
-            parts = sorted(got[c], key=lambda r: r["part"])
-            assert parts[0]["cost"] == brute(rs) and sum(r["n_in"] for r in parts) == len(rs)
-            text = "".join(r["rendered"] for r in parts)
-            roles = re.findall(r"<\|(system|user|assistant)\|>", text)
-            assert re.fullmatch(r"(s)?(ua)+", "".join(r[0] for r in roles))
-            assert len(roles) == sum(r["n_out"] for r in parts)
-            cost = sum(p.merge * r["merged"] + p.relabel * r["relabelled"] + p.insert * r["inserted"] for r in parts)
-            assert cost == parts[0]["cost"]
-            whole.setdefault(c, text)
+            r = got[c]
+            assert r["cost"] == chat_brute(tuple("?sua?"[x] for x in rs), p) and r["n_in"] == len(rs)
+            turns = re.findall(r"<\|(system|user|assistant)\|>\n(.*?)<\|end\|>\n", r["rendered"], re.S)
+            assert re.fullmatch(r"(s)?(ua)+", "".join(x[0][0] for x in turns)) and len(turns) == r["n_out"]
+            assert [x for _, t in turns for x in t.split("\n") if x] == [f"t{k}" for k in range(len(rs))]
+            assert p.merge * r["merged"] + p.relabel * r["relabelled"] + p.insert * r["inserted"] == r["cost"]
+            assert whole.setdefault(c, r["rendered"]) == r["rendered"]
+
+
+def test_chat_odd(spark):
+    """Large ids beside NULL ones, a long conversation, NULL turns, repeated rows, clashing columns."""
+    big = 2**60 + 1
+    rows = [(big, k, ("user", "assistant")[k % 2], f"x{k}") for k in range(1200)]
+    rows += [(None, 0, " User ", "a"), (None, 0, " User ", "a"), (None, None, "assistant", None), (7, 5, None, ""), (8, None, None, None)]
+    df = spark.createDataFrame([(*r, 1, 1, "z", 1) for r in rows], "conv_id long, turn long, role string, text string, r long, task int, key string, n long")
+    got = {r["conv_id"]: r for r in chat.repair(df).collect()}
+    assert set(got) == {big, None, 7, 8} and got[big]["n_in"] == 1200 and got[big]["cost"] == 0 and got[None]["n_in"] == 3
+    assert got[big]["rendered"] == "".join(f"<|{('user', 'assistant')[k % 2]}|>\nx{k}<|end|>\n" for k in range(1200))
+    assert got[8]["cost"] == chat_brute(("?",), chat.Params())
+    text = chat.repair(spark.createDataFrame([("b", 1, "user", "hi"), (None, 1, "user", "yo")], "conv_id string, turn long, role string, text string")).collect()
+    assert {(r["conv_id"], r["n_out"]) for r in text} == {("b", 2), (None, 2)}
 
 
 def test_warc(spark):
