@@ -14,8 +14,9 @@ If it is still not reached, or no link is known to audit, all vectors are compar
 Equal vectors are one class with a weight, so copies cost nothing. Similarities are in double precision.
 
 Defined results: NULL, empty or zero vectors, and those with NULL or non-finite components, link with nothing and
-are their own component; vectors of different lengths never link; repeated rows of one vec_id are one class;
-NULL vec_ids keep NULL; extra columns are ignored; an empty table gives no rows.
+are their own component; vectors of different lengths never link; every row comes out once; rows that agree in vec_id
+and vector count as one; several vectors of one vec_id are judged each for itself; NULL vec_ids keep NULL and link with
+nothing; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def best_of(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of a square similarity matrix its ``k`` best others, as ids and values."""
-    np.fill_diagonal(sim, -2)
+    sim[ids[:, None] == ids] = -2  # an id may stand in a block twice, where one order ends and the next begins
     k = min(k, len(ids) - 1)
     if k <= 0:
         return np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
@@ -142,14 +143,17 @@ def merge_lists(parts: DataFrame, k: int) -> DataFrame:
         for b in batches:
             nb, sim = b.column("nb"), b.column("sim")
             off, n, s = nb.offsets.to_numpy(), nb.values.to_numpy(), sim.values.to_numpy()
+            ids = b.column("id").to_numpy()
             out_n, out_s = [], []
             for i in range(len(b)):
                 x, y = n[off[i] : off[i + 1]], s[off[i] : off[i + 1]]
+                other = x != ids[i]
+                x, y = x[other], y[other]
                 u, first = np.unique(x, return_index=True)
                 o = np.lexsort((u, -y[first]))[:k]
                 out_n.append(u[o])
                 out_s.append(y[first][o])
-            yield lists(b.column("id").to_numpy(), out_n, out_s)
+            yield lists(ids, out_n, out_s)
 
     return g.mapInArrow(lean(run), LIST)
 
@@ -361,23 +365,34 @@ def near_duplicates(table: DataFrame, p: Params = Params()) -> DataFrame:
     src = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    good = src.filter(fine)
     # equal vectors are one class, found by their bytes
-    good = good.withColumn("h", F.sha2(F.to_json(F.struct(F.transform("v", lambda x: x.cast("string")))), 256))
-    ids = store.save(good.select("vec_id", "h").distinct(), "ids")
-    v = good.groupBy("h").agg(F.min("vec_id").alias("id"), F.first("v").alias("v"))
-    weight = ids.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
-    v = store.save(v.join(weight, "h"), "vectors")
+    src = src.withColumn("h", F.when(fine, F.sha2(F.to_json(F.struct(F.transform("v", lambda x: x.cast("string")))), 256)))
+    rows = store.save(src.select("vec_id", "h"), "rows")
+    v = src.filter("h is not null").groupBy("h").agg(F.min("vec_id").alias("low"), F.first("v").alias("v"))
+    weight = rows.filter("h is not null").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("m"))
+    v = store.save(v.join(weight, "h"), "classes")
+    # a class goes by its smallest vec_id; where several classes have the same one, the others get numbers of their own
+    shared = store.save(v.groupBy("low").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("low", F.col("h").alias("h0")), "shared")
+    if shared.limit(1).count():
+        top = v.agg(F.max("low").alias("top"), F.min("low").alias("least")).first()
+        more = v.join(shared, "low").filter("h <> h0").select("h")
+        more = store.save(more.select("h", F.monotonically_increasing_id().alias("k")), "numbers")
+        most = more.agg(F.max("k")).first()[0]
+        fresh = F.lit(top["top"] + 1) + F.col("k") if top["top"] + 1 + most < 1 << 63 else F.lit(top["least"] - 1) - F.col("k")
+        v = store.save(v.join(more.select("h", fresh.alias("fresh")), "h", "left").select("h", F.coalesce("fresh", "low").alias("id"), "low", "v", "m"), "vectors")
+    else:
+        v = v.select("h", F.col("low").alias("id"), "low", "v", "m")
     dims = [r["d"] for r in v.select(F.size("v").alias("d")).distinct().collect()]
     found = [links_of(v.filter(F.size("v") == d) if len(dims) > 1 else v, p, store) for d in dims]
-    out = src.select("vec_id").join(ids, "vec_id", "left") if found else src.select("vec_id", F.lit(None).cast("string").alias("h"))
     if not found:
-        return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     both = found[0]
     for x in found[1:]:
         both = both.union(x)
-    cls = v.select("h", "id", "m").join(both, "id", "left").select("h", (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = out.join(cls, "h", "left")
+    cls = v.select("h", "id", "low", "m").join(both, "id", "left")
+    root = cls.filter("component is not null").groupBy("component").agg(F.min("low").alias("root"))
+    cls = cls.join(root, "component", "left").select("h", (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "low").alias("component_id"))
+    out = rows.join(cls, "h", "left")
     comp = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("vec_id") == comp).alias("kept"))
 

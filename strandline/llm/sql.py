@@ -39,10 +39,10 @@ rows3 AS (SELECT *, max(CASE WHEN run > rest THEN 1 ELSE 0 END) OVER (PARTITION
 SELECT doc_id, domain, lang, source, tokens, CAST(epoch + CASE WHEN lt > 0 AND rest > 0 AND beyond = 0 THEN 1 ELSE 0 END AS BIGINT) AS copies FROM rows3"""
 
 
-WARC = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
+WARC = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
 m AS (SELECT h, max(page_id) AS top FROM d WHERE n >= 1000 GROUP BY 1)
-SELECT d.page_id, n AS payload_bytes, d.h AS payload_digest, CASE WHEN top IS NULL OR n < 1000 OR top = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
- CASE WHEN top IS NULL OR n < 1000 OR top = d.page_id THEN NULL ELSE top END AS refers_to FROM d LEFT JOIN m ON m.h = d.h"""
+SELECT d.page_id, n AS payload_bytes, d.h AS payload_digest, CASE WHEN top IS NULL OR n < 1000 OR top IS NOT DISTINCT FROM d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN top IS NULL OR n < 1000 OR top IS NOT DISTINCT FROM d.page_id THEN NULL ELSE top END AS refers_to FROM d LEFT JOIN m ON m.h = d.h"""
 
 ORACLES = {"op7_mixing": mixing_sql(), "op10_warc": WARC}

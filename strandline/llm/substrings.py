@@ -16,9 +16,12 @@ with a smaller id is removed. Windows are judged on the input, never on what is
 Why that is whole: a window's own anchor is the same in every document that holds it. If the owner of that anchor
 holds the window, step 3 finds it for all others; if not, all holders come to step 4 and meet there.
 
-Defined results: a null text has no words; documents of fewer than ``words`` words keep everything; of repeated
-rows with one doc_id neither removes from the other (no smaller id); a NULL doc_id is neither reference nor
-shortened; extra columns are ignored.
+Rows are told apart by doc_id and a hash of their text.
+
+Defined results: a null text has no words; documents of fewer than ``words`` words keep everything; of several
+rows with one doc_id, with equal or different texts, neither removes from the other (no smaller id), and each is
+shortened by its own text; a NULL doc_id is neither reference nor shortened; an empty table gives no rows; extra columns
+are ignored or, with ``carry``, come along.
 """
 
 from __future__ import annotations
@@ -85,22 +88,27 @@ def documents(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             yield h[a:b]
 
 
+def texts(docs: DataFrame, *more) -> DataFrame:
+    """doc_id, tid (which tells rows of one doc_id apart), text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("tid"), "text", *more)
+
+
 def anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
-    """(fp, doc_id, pos) for every anchor."""
+    """(fp, doc_id, tid, pos) for every anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_numpy()
-            fps, who, at = [], [], []
-            for k, h in enumerate(documents(b)):
+            fps, at = [], []
+            for h in documents(b):
                 pos, fp = anchors_of(h, p)
                 fps.append(fp)
                 at.append(pos)
-                who.append(np.full(len(pos), ids[k], np.int64))
             if fps:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(fps))), pa.array(np.concatenate(who)), pa.array(np.concatenate(at).astype(np.int32))], names=["fp", "doc_id", "pos"])
+                who = np.repeat(np.arange(len(b)), [len(x) for x in at])
+                ids, tids = (b.column(c).to_numpy()[who] for c in ("doc_id", "tid"))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(fps))), pa.array(ids), pa.array(tids), pa.array(np.concatenate(at).astype(np.int32))], names=["fp", "doc_id", "tid", "pos"])
 
-    return docs.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(lean(run), "fp long, doc_id long, pos int")
+    return texts(docs).filter("doc_id is not null and text is not null").mapInArrow(lean(run), "fp long, doc_id long, tid long, pos int")
 
 
 class Automaton:
@@ -195,13 +203,13 @@ def regions(pos: np.ndarray, n: int, p: Params) -> list[tuple[int, int]]:
 def shard_rows(docs: DataFrame, asked: DataFrame, p: Params) -> DataFrame:
     """Word hashes of references (kind 0) and of what is to be streamed (kind 1), by shard and part.
 
-    ``asked``: doc_id and the list ``at`` of (pos, shard, part, ref), ``ref`` being the number of parts for a
+    ``asked``: doc_id, tid and the list ``at`` of (pos, shard, part, ref), ``ref`` being the number of parts for a
     reference and 0 otherwise.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_numpy()
+            ids, tids = (b.column(c).to_numpy() for c in ("doc_id", "tid"))
             at = b.column("at")
             off = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))))
             flat = at.flatten()
@@ -213,8 +221,8 @@ def shard_rows(docs: DataFrame, asked: DataFrame, p: Params) -> DataFrame:
             def flush(head, words):
                 h = np.array(head, np.int64).reshape(-1, 6)
                 return pa.RecordBatch.from_arrays(
-                    [*(pa.array(h[:, c].astype(np.int32)) for c in (0, 1, 2)), pa.array(h[:, 3].copy()), pa.array(h[:, 4].astype(np.int32)), to_list(signed(np.concatenate(words)), np.array([len(w) for w in words]), pa.int64()), to_list(np.concatenate([w[-1] for w in tails]), np.array([len(w[-1]) for w in tails]), pa.int32())],
-                    names=["shard", "part", "kind", "doc_id", "start", "w", "pos"],
+                    [*(pa.array(h[:, c].astype(np.int32)) for c in (0, 1, 2)), pa.array(h[:, 3].copy()), pa.array(h[:, 5].copy()), pa.array(h[:, 4].astype(np.int32)), to_list(signed(np.concatenate(words)), np.array([len(w) for w in words]), pa.int64()), to_list(np.concatenate([w[-1] for w in tails]), np.array([len(w[-1]) for w in tails]), pa.int32())],
+                    names=["shard", "part", "kind", "doc_id", "tid", "start", "w", "pos"],
                 )
 
             tails: list[tuple] = []
@@ -225,7 +233,7 @@ def shard_rows(docs: DataFrame, asked: DataFrame, p: Params) -> DataFrame:
                     for lo, hi in regions(mine, len(h), p):
                         inside = mine[(mine >= lo) & (mine < hi)] - lo
                         for t in range(r) if r else (q,):
-                            head.append((s, t, 0 if r else 1, ids[k], lo, 0))
+                            head.append((s, t, 0 if r else 1, ids[k], lo, tids[k]))
                             words.append(h[lo:hi])
                             tails.append((inside.astype(np.int32),))
                             held += hi - lo
@@ -237,12 +245,12 @@ def shard_rows(docs: DataFrame, asked: DataFrame, p: Params) -> DataFrame:
                 yield flush(head, words)
                 tails.clear()
 
-    sent = docs.select("doc_id", "text").join(asked.hint("merge"), "doc_id")
-    return sent.mapInArrow(lean(run), "shard int, part int, kind int, doc_id long, start int, w array<long>, pos array<int>")
+    sent = texts(docs).join(asked.hint("merge"), ["doc_id", "tid"])
+    return sent.mapInArrow(lean(run), "shard int, part int, kind int, doc_id long, tid long, start int, w array<long>, pos array<int>")
 
 
 def match(rows: DataFrame, p: Params) -> DataFrame:
-    """Stream each shard's documents through its automaton: (doc_id, starts, spans, left_at, left_fp).
+    """Stream each shard's documents through its automaton: (doc_id, tid, starts, spans, left_at, left_fp).
 
     ``starts``/``spans``: stretches of words that a smaller document has; ``left_at``/``left_fp``: windows
     around an anchor that the automaton does not have from a smaller document.
@@ -252,11 +260,11 @@ def match(rows: DataFrame, p: Params) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, auto, ready = None, None, False
         for b in batches:
-            shard, part, kind, ids, start = (b.column(c).to_numpy() for c in ("shard", "part", "kind", "doc_id", "start"))
+            shard, part, kind, ids, tids, start = (b.column(c).to_numpy() for c in ("shard", "part", "kind", "doc_id", "tid", "start"))
             w, pos = b.column("w"), b.column("pos")
             woff, wval = w.offsets.to_numpy(), w.values.to_numpy()
             poff, pval = pos.offsets.to_numpy(), pos.values.to_numpy()
-            out_id, out_s, out_n, out_la, out_lf = [], [], [], [], []
+            out_id, out_t, out_s, out_n, out_la, out_lf = [], [], [], [], [], []
             for k in range(len(b)):
                 if (shard[k], part[k]) != key:
                     key, auto, ready = (shard[k], part[k]), Automaton(), False
@@ -279,6 +287,7 @@ def match(rows: DataFrame, p: Params) -> DataFrame:
                 holds = (near < len(mine)) & (mine[np.minimum(near, len(mine) - 1)] <= first + size - anchor)
                 left = np.flatnonzero(holds & ~got)
                 out_id.append(ids[k])
+                out_t.append(tids[k])
                 out_s.append(a + start[k])
                 out_n.append(z - a + size)
                 out_la.append(left + start[k])
@@ -286,16 +295,16 @@ def match(rows: DataFrame, p: Params) -> DataFrame:
             if out_id:
                 cat = lambda xs, t: to_list(np.concatenate(xs).astype(t), np.array([len(x) for x in xs]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(out_id, np.int64)), cat(out_s, np.int32), cat(out_n, np.int32), cat(out_la, np.int32), to_list(signed(np.concatenate(out_lf)), np.array([len(x) for x in out_lf]), pa.int64())],
-                    names=["doc_id", "starts", "spans", "left_at", "left_fp"],
+                    [pa.array(np.array(out_id, np.int64)), pa.array(np.array(out_t, np.int64)), cat(out_s, np.int32), cat(out_n, np.int32), cat(out_la, np.int32), to_list(signed(np.concatenate(out_lf)), np.array([len(x) for x in out_lf]), pa.int64())],
+                    names=["doc_id", "tid", "starts", "spans", "left_at", "left_fp"],
                 )
 
-    dealt = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "doc_id", "start")
-    return dealt.mapInArrow(lean(run), "doc_id long, starts array<int>, spans array<int>, left_at array<int>, left_fp array<long>")
+    dealt = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "doc_id", "tid", "start")
+    return dealt.mapInArrow(lean(run), "doc_id long, tid long, starts array<int>, spans array<int>, left_at array<int>, left_fp array<long>")
 
 
 def repeated_spans(docs: DataFrame, p: Params, store: Store) -> DataFrame:
-    """(doc_id, at array<struct<start,n>>): stretches of words to remove, which may overlap."""
+    """(doc_id, tid, at array<struct<start,n>>): stretches of words to remove, which may overlap."""
     anchors = store.save(anchor_rows(docs, p), "anchors")
     own = anchors.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("fp", "owner")
     own = store.save(own, "owners")
@@ -309,16 +318,16 @@ def repeated_spans(docs: DataFrame, p: Params, store: Store) -> DataFrame:
     found = found.join(small(parts, shards, 16), "shard")
     is_ref = F.col("doc_id") == F.col("owner")
     item = F.struct("pos", "shard", F.when(is_ref, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int").alias("part"), F.when(is_ref, F.col("parts")).otherwise(0).alias("ref"))
-    asked = store.save(found.groupBy("doc_id").agg(F.collect_list(item).alias("at")), "asked")
+    asked = store.save(found.groupBy("doc_id", "tid").agg(F.collect_list(item).alias("at")), "asked")
     # the lists grow with the corpus: they meet the texts by a shuffle at every size
     rows = shard_rows(docs, asked, p)
     got = store.save(match(rows, p), "matched")
-    left = got.select("doc_id", F.explode(F.arrays_zip("left_at", "left_fp")).alias("x")).select("doc_id", F.col("x.left_at").alias("at"), F.col("x.left_fp").alias("fp"))
+    left = got.select("doc_id", "tid", F.explode(F.arrays_zip("left_at", "left_fp")).alias("x")).select("doc_id", "tid", F.col("x.left_at").alias("at"), F.col("x.left_fp").alias("fp"))
     first = left.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("fp", "owner")
     first = store.save(first, "first")
-    late = left.join(first.hint("merge"), "fp").filter("doc_id > owner").select("doc_id", F.col("at").alias("start"), F.lit(p.words).alias("n"))
-    spans = got.select("doc_id", F.explode(F.arrays_zip("starts", "spans")).alias("x")).select("doc_id", F.col("x.starts").alias("start"), F.col("x.spans").alias("n"))
-    return spans.union(late).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("at"))
+    late = left.join(first.hint("merge"), "fp").filter("doc_id > owner").select("doc_id", "tid", F.col("at").alias("start"), F.lit(p.words).alias("n"))
+    spans = got.select("doc_id", "tid", F.explode(F.arrays_zip("starts", "spans")).alias("x")).select("doc_id", "tid", F.col("x.starts").alias("start"), F.col("x.spans").alias("n"))
+    return spans.union(late).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "n")).alias("at"))
 
 
 def remove_repeats(docs: DataFrame, p: Params = Params(), carry: bool = False) -> DataFrame:
@@ -366,7 +375,7 @@ def remove_repeats(docs: DataFrame, p: Params = Params(), carry: bool = False) -
 
     schema = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>"
     if not carry:
-        return docs.select("doc_id", "text").join(spans.hint("merge"), "doc_id", "left").mapInArrow(lean(run), schema)
+        return texts(docs).join(spans.hint("merge"), ["doc_id", "tid"], "left").mapInArrow(lean(run), schema)
     row = F.struct(*docs.columns).alias("row")
-    x = docs.select("doc_id", "text", row).join(spans.hint("merge"), "doc_id", "left")
+    x = texts(docs, row).join(spans.hint("merge"), ["doc_id", "tid"], "left")
     return x.mapInArrow(lean(both), T.StructType.fromDDL(schema).add("row", x.schema["row"].dataType))

@@ -8,7 +8,7 @@ manifest, which Spark commits, names those that count. A reader checks every fra
 
 Defined results: a NULL payload is empty; empty and short payloads are always responses; repeated rows with one
 page_id each get a record, and an equal payload under the same id is not a revisit of itself; a NULL page_id gets
-no record; extra columns are ignored; an empty table writes no archive.
+a record too, which never is what others refer to if one of them has an id; extra columns are ignored; an empty table writes no archive.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from ._store import Store, lean, shared_dir
 MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
 DATE = "2024-01-01T00:00:00Z"
+NO_ID = "none"
 
 
 @dataclass(frozen=True)
@@ -53,12 +54,12 @@ class FormatError(ValueError):
 # ---------------------------------------------------------------- one record
 
 
-def encode_record(page_id: int, url: str, payload: bytes, kind: str, refers_to: int | None) -> bytes:
+def encode_record(page_id: int | None, url: str, payload: bytes, kind: str, refers_to: int | None) -> bytes:
     """Header lines, a blank line, the block, two line ends. A revisit has no block but keeps the payload's digest and length."""
     url = "".join(c if c not in "\r\n" else " " for c in url or "")
     block = payload if kind == "response" else b""
     digest = hashlib.sha1(payload).hexdigest()
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{NO_ID if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
@@ -81,7 +82,8 @@ def decode_record(raw: bytes) -> dict:
         fields[name.lower()] = value.strip()
     try:
         length, kind = int(fields["content-length"]), fields["warc-type"]
-        page = int(fields["warc-record-id"].removeprefix("<urn:page:").removesuffix(">"))
+        name = fields["warc-record-id"].removeprefix("<urn:page:").removesuffix(">")
+        page = None if name == NO_ID else int(name)
         digest, size = fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"])
         refers = int(fields["warc-refers-to"].removeprefix("<urn:page:").removesuffix(">")) if kind == "revisit" else None
     except (KeyError, ValueError) as e:
@@ -152,9 +154,9 @@ def _fs(uri: str):
 
 def plan(pages: DataFrame, p: Params, store: Store) -> DataFrame:
     """page_id, url, payload, record_type, refers_to. Digests meet in a grouped maximum; pages look up repeated ones only."""
-    x = pages.filter("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    x = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     x = x.withColumns({"d": F.sha1("payload"), "n": F.octet_length("payload")})
-    best = x.filter(F.col("n") >= p.least).groupBy("d").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low"), F.count(F.lit(1)).alias("k")).filter("low < top")
+    best = x.filter(F.col("n") >= p.least).groupBy("d").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low"), F.count(F.lit(1)).alias("k"), F.count("page_id").alias("named")).filter("low < top or named between 1 and k - 1")
     best = store.save(best, "repeated")
     # a payload with many copies is looked up under several salted keys, so its pages are dealt over tasks
     salt = F.explode(F.when(F.col("k") > 256, F.sequence(F.lit(0), F.lit(p.salts - 1))).otherwise(F.array(F.lit(0))))
@@ -162,10 +164,10 @@ def plan(pages: DataFrame, p: Params, store: Store) -> DataFrame:
     hot = best.filter("k > 256").select("d", F.lit(True).alias("is_hot"))
     n_hot = hot.count()
     x = x.join(F.broadcast(hot) if n_hot <= 500_000 else hot, "d", "left")
-    x = x.withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("page_id"), F.lit(p.salts))).otherwise(0).cast("int"))
+    x = x.withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("page_id", "url"), F.lit(p.salts))).otherwise(0).cast("int"))
     n = keys.count()
     y = x.join(F.broadcast(keys) if n <= 300_000 else keys, ["d", "salt"], "left")
-    revisit = F.col("top").isNotNull() & (F.col("page_id") != F.col("top")) & (F.col("n") >= p.least)
+    revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")) & (F.col("n") >= p.least)
     return y.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("top")).alias("refers_to"))
 
 
@@ -240,8 +242,9 @@ def round_trip(pages: DataFrame, p: Params = Params()) -> DataFrame:
     """Write all pages to archives in the shared folder and read them back: one row per record, payload of responses included."""
     spark = pages.sparkSession
     store = Store(spark)
-    head = pages.filter("html is not null").select("html").limit(p.samples).collect()  # a bounded sample for the dictionary
-    dictionary = train_dictionary([r["html"].encode() for r in head], p)
+    # a bounded sample for the dictionary: so many heads of so many bytes at most
+    head = pages.filter("html is not null").select(F.substring(F.col("html").cast("binary"), 1, p.sample_bytes).alias("head")).limit(p.samples).collect()
+    dictionary = train_dictionary([bytes(r["head"]) for r in head], p)
     uri = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
     manifest = store.save(write_archives(plan(pages, p, store), uri, dictionary, p), "manifest")
     return read_archives(spark, uri, manifest)
