@@ -7,9 +7,12 @@ with each other, and every vector keeps its best. Rounds end when they find hard
 whole list is at or above the threshold is saturated; lists are then enlarged to all of the vector's component, in
 tiles that are compared as matrix products and return counts and not pairs. Tiles of different components with
 saturated vectors are compared too, unless their balls (centre and largest angle) lie too far apart for any link, and
-components that link are joined. An audit against brute force on a bounded set of vectors,
-half of it vectors with a known link, measures recall; below ``recall`` further rounds follow, each with new orders.
-If it is still not reached, or no link is known to audit, all vectors are compared exactly in tiles.
+components that link are joined.
+
+Recall is audited twice. Probes, made-up neighbours near the threshold of a bounded set of vectors, go through the
+whole search and show how often an isolated pair is found; and a bounded set of vectors, half of it with a known link, is
+held against all others by brute force. Below ``recall`` in either, further rounds follow, each with new orders. If it is
+still not reached, all vectors are compared exactly in tiles.
 
 Equal vectors are one class with a weight, so copies cost nothing. Similarities are in double precision.
 
@@ -39,15 +42,15 @@ LOG = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class Params:
-    """``threshold``; list length ``k``; ``orders`` of ``bits`` hyperplanes, cut into blocks of ``block``; ``rounds`` at
+    """``threshold``; list length ``k``; at least ``orders`` of ``bits`` hyperplanes, cut into blocks of ``block``; ``rounds`` at
     most and ``more`` if the audit asks for them; ``around``: members compared at once around a vector; ``tile``:
     vectors of a tile; ``audit``: vectors held against all; ``recall`` to reach."""
 
     threshold: float = 0.9
     k: int = 10
-    orders: int = 8
+    orders: int = 4
     bits: int = 60
-    block: int = 128
+    block: int = 512
     rounds: int = 3
     more: int = 3
     around: int = 48
@@ -88,8 +91,14 @@ LIST = "id long, nb array<long>, sim array<float>"
 
 
 def orders_of(n: int, p: Params) -> int:
-    """Signature orders for ``n`` vectors: ``orders`` up to 2^16 of them, and as many again with each doubling."""
-    return p.orders * max(1, 1 + (max(n, 1) - 1).bit_length() - 16)
+    """Signature orders for ``n`` vectors: so many that a pair right at the threshold, with no neighbours to help, shares a
+    block of one of them with a chance of ``recall``; ``orders`` at least.
+
+    A bit of the signature splits a pair with its angle over pi; a block holds vectors that agree in about
+    log2(n / block) leading bits.
+    """
+    together = (1 - np.arccos(p.threshold) / np.pi) ** max(0.0, np.log2(max(n, 1) / p.block))
+    return max(p.orders, int(np.ceil(np.log(1 - p.recall) / np.log1p(-together)))) if together < 1 else p.orders
 
 
 def start_lists(v: DataFrame, p: Params, first: int, orders: int) -> DataFrame:
@@ -401,30 +410,39 @@ def links_of(v: DataFrame, p: Params, store: Store) -> DataFrame:
     """(id, n_links, component) of the classes that link with another one."""
     t = p.threshold
     n = v.count()
+    pairs, probes = probes_of(v, p)
+    searched = store.save(v.select("id", "v").unionByName(probes) if pairs else v.select("id", "v"), "searched")
     used = orders_of(n, p)
-    graph = store.save(merge_lists(start_lists(v, p, 0, used), p.k), "graph")
-    seen, audit = link_count(graph, t), None
-    turn, reached = 0, False
-    while turn < p.rounds + p.more:
-        turn += 1
-        found = graph.union(descend(graph, v, p, turn))
-        if audit is not None:  # the audit was not content: look in new orders too
-            found = found.union(start_lists(v, p, used, p.orders))
-            used += p.orders
+    graph = store.save(merge_lists(start_lists(searched, p, 0, used), p.k), "graph")
+    seen, truth, reached = link_count(graph, t), None, False
+    for turn in range(1, p.rounds + p.more + 1):
+        found = graph.union(descend(graph, searched, p, turn))
+        if truth is not None:  # the audit was not content: look in new orders too
+            fresh = max(p.orders, used // 4)
+            found = found.union(start_lists(searched, p, used, fresh))
+            used += fresh
         graph = store.save(merge_lists(found, p.k), "graph")
         now = link_count(graph, t)
         settled = now <= seen * 1.001
         seen = now
         if settled or turn >= p.rounds:
-            r = recall_of(graph, v, p, audit)
-            audit = r[1]
-            LOG.info("round %d: %d links, recall %s", turn, now, r[0])
-            reached = r[0] is not None and r[0] >= p.recall
-            if reached or r[0] is None:
+            truth = truth if truth is not None else truth_of(graph, v, p)
+            got = [r for r in (recall_of(graph, pairs, p), recall_of(graph, truth, p)) if r is not None]
+            LOG.info("round %d: %d links, recall %s", turn, now, got)
+            reached = bool(got) and min(got) >= p.recall
+            if reached:
                 break
+    full = graph.filter((F.size("nb") >= p.k) & (F.element_at("sim", -1) >= t - 1e-4)).select("id")
+    if pairs:  # the probes leave before links are counted
+        lo, hi = min(x for _, x in pairs), max(x for _, x in pairs)
+        real = lambda c: ~F.col(c).between(lo, hi)
+        both = F.filter(F.arrays_zip("nb", "sim"), lambda x: ~x["nb"].between(lo, hi))
+        graph = graph.filter(real("id")).select("id", both.alias("x")).select("id", F.col("x.nb").alias("nb"), F.col("x.sim").alias("sim"))
+        full = full.filter(real("id"))
     if not reached:
         LOG.warning("recall %s not reached on %d vectors: comparing all of them", p.recall, n)
         graph = store.save(merge_lists(graph.union(exact_lists(v, n, p, store)), p.k), "graph")
+        full = full.union(graph.filter((F.size("nb") >= p.k) & (F.element_at("sim", -1) >= t - 1e-4)).select("id"))
     links = graph.select("id", F.explode(F.arrays_zip("nb", "sim")).alias("x")).select("id", F.col("x.nb").alias("n"), F.col("x.sim").alias("s")).filter(F.col("s") >= t - 1e-4)
     # the lists carry single precision; what is kept is decided in double precision
     pairs = links.select(F.greatest("id", "n").alias("a"), F.least("id", "n").alias("b")).distinct()
@@ -438,8 +456,7 @@ def links_of(v: DataFrame, p: Params, store: Store) -> DataFrame:
 
     pairs = store.save(pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(lean(exact), "a long, b long"), "links")
     comp = store.save(components(pairs, store), "components")
-    full = graph.filter((F.size("nb") >= p.k) & (F.element_at("sim", -1) >= t - 1e-4)).select("id")
-    deep = comp.join(full, "id", "left_semi").select("component").distinct()
+    deep = comp.join(full.distinct(), "id", "left_semi").select("component").distinct()
     deep = store.save(comp.join(deep, "component", "left_semi"), "saturated")
     # enlarged lists: for vectors of a component with a saturated member all of it is compared, in tiles
     tiles = tiles_of(v.select("id", "m", "v"), deep, p, store)
@@ -454,35 +471,50 @@ def links_of(v: DataFrame, p: Params, store: Store) -> DataFrame:
     return inner.unionByName(plain).withColumnRenamed("n", "n_links").join(comp, "id")
 
 
-def recall_of(graph: DataFrame, v: DataFrame, p: Params, audit):
-    """(share of the audited vectors' true links that a list of either end holds or that join two saturated ends, truth).
+def probes_of(v: DataFrame, p: Params) -> tuple[list[tuple[int, int]], DataFrame | None]:
+    """Made-up vectors for the audit: (vector, its probe) pairs and the probes (id, v).
 
-    Half of the audited vectors have a link in their list, the others are any. The share is None if none has a link.
+    Each of ``audit`` vectors gets a neighbour between the threshold and halfway to 1, in a random direction. Probes are
+    searched for like any vector, so their recall is that of the hardest case, a pair with no other neighbours.
     """
-    if audit is None:
-        known = graph.filter(F.exists("sim", lambda s: s >= p.threshold)).select("id")
-        some = lambda x, k: x.select("id").orderBy(F.xxhash64("id", F.lit(p.seed))).limit(k)
-        chosen = some(v, p.audit - p.audit // 2).union(some(known, p.audit // 2)).distinct()
-        rows = v.join(F.broadcast(chosen), "id").select("id", "v").toArrow()
-        ids = rows.column("id").to_numpy()
-        q = unit(matrix(rows.column("v").combine_chunks())) if len(ids) else np.zeros((0, 0))
-        audit = (ids, brute(v, q, ids, p.threshold) if len(ids) else {})
-    ids, truth = audit
-    want = sum(len(x) for x in truth.values())
-    if not want:
-        return None, audit
-    mine = graph.join(F.broadcast(graph.sparkSession.createDataFrame([(int(i),) for i in truth], "id long")), "id").collect()
-    near = lambda r: {n for n, s in zip(r["nb"], r["sim"], strict=True) if s >= p.threshold - 1e-4}
-    mine = {r["id"]: near(r) for r in mine}
-    far = {n for i, x in truth.items() for n in x - mine.get(i, set())}
-    ends = graph.join(graph.sparkSession.createDataFrame([(int(i),) for i in far], "id long"), "id").collect() if far else []
-    ends = {r["id"]: near(r) for r in ends}
-    got = 0
-    for i, x in truth.items():
-        own = mine.get(i, set())
-        full = len(own) >= p.k
-        got += sum(n in own or i in ends.get(n, ()) or (full and len(ends.get(n, ())) >= p.k) for n in x)
-    return got / want, audit
+    rows = v.select("id", "v").orderBy(F.xxhash64("id", F.lit(p.seed + 1))).limit(p.audit).toArrow()
+    x = unit(matrix(rows.column("v").combine_chunks())) if rows.num_rows else np.zeros((0, 0))
+    if x.shape[1] < 2:
+        return [], None
+    rng = np.random.default_rng(p.seed)
+    away = rng.standard_normal(x.shape)
+    away = unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+    c = p.threshold + (1 - p.threshold) * (0.001 + 0.499 * rng.random((len(x), 1)))
+    y = c * x + np.sqrt(1 - c * c) * away
+    ends = v.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+    first = ends["hi"] + 1 if ends["hi"] + len(x) < 1 << 63 else ends["lo"] - len(x)
+    ids = [first + k for k in range(len(x))]
+    made = v.sparkSession.createDataFrame([(i, r.tolist()) for i, r in zip(ids, y, strict=True)], "id long, v array<double>")
+    return list(zip(rows.column("id").to_pylist(), ids, strict=True)), made.select("id", F.col("v").cast(v.schema["v"].dataType).alias("v"))
+
+
+def truth_of(graph: DataFrame, v: DataFrame, p: Params) -> list[tuple[int, int]]:
+    """All true links of a bounded set of vectors, half of it vectors with a link in their list."""
+    known = graph.filter(F.exists("sim", lambda s: s >= p.threshold)).select("id").join(v.select("id"), "id", "left_semi")
+    some = lambda x, k: x.select("id").orderBy(F.xxhash64("id", F.lit(p.seed))).limit(k)
+    chosen = some(v, p.audit - p.audit // 2).union(some(known, p.audit // 2)).distinct()
+    rows = v.join(F.broadcast(chosen), "id").select("id", "v").toArrow()
+    ids = rows.column("id").to_numpy()
+    found = brute(v, unit(matrix(rows.column("v").combine_chunks())), ids, p.threshold) if len(ids) else {}
+    return [(i, n) for i, x in found.items() for n in sorted(x)]
+
+
+def recall_of(graph: DataFrame, pairs: list[tuple[int, int]], p: Params) -> float | None:
+    """Share of the links that a list of either end holds or that join two saturated ends; None without links."""
+    if not pairs:
+        return None
+    spark = graph.sparkSession
+    want = spark.createDataFrame(pairs, "a long, b long")
+    near = F.transform(F.filter(F.arrays_zip("nb", "sim"), lambda x: x["sim"] >= p.threshold - 1e-4), lambda x: x["nb"])
+    end = lambda c: graph.select(F.col("id").alias(c), near.alias(f"n{c}"))
+    x = want.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    held = F.array_contains("na", F.col("b")) | F.array_contains("nb", F.col("a")) | ((F.size("na") >= p.k) & (F.size("nb") >= p.k))
+    return x.agg(F.count_if(F.coalesce(held, F.lit(False))) / F.count(F.lit(1))).first()[0]
 
 
 __all__ = ["Params", "near_duplicates"]
