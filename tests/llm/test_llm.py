@@ -339,12 +339,51 @@ def test_lm_full_model():
         assert lmscore.score_ids(other, np.array([80]), m)[at] != base[at]
 
 
-def test_lm_training_grows():
-    """Sample and steps of training grow with the corpus."""
-    p = lmscore.Params()
-    words = [total * lmscore.share_of(total, p) for total in (10**5, 10**7, 10**9, 10**10)]
-    assert words == pytest.approx([10**5, 600_000, 10**7, 10**8])
-    assert lmscore.steps_of(10, p) == p.steps and lmscore.steps_of(10**6, p) * p.batch >= 4 * 10**6
+def test_lm_against_plain_attention():
+    """Every id scored apart from the others, over the whole context that the model gives it, in double precision."""
+    rng = np.random.default_rng(1)
+    p = lmscore.Params(rows=128, classes=8, leaves=8, steps=40, batch=16)
+    end = 200
+    per = np.array([1, 5, 16, 17, 40, 33, 100])
+    ids = rng.integers(0, end, per.sum()).astype(np.int32)
+    ids[np.cumsum(per) - 1] = end
+    m = lmscore.fit(ids, per, np.bincount(ids, minlength=end + 1), end, p)
+    got = lmscore.score_ids(ids, per, m)
+    n, e, at = p.block, m.e.astype(float), 0
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for size in per:
+        text = [end, *ids[at : at + size]]  # an end stands before the text
+        for k in range(size):
+            low = max(0, k // n * n - n)
+            x = np.array([e[m.row[i]] for i in text[low : k + 1]])
+            far = np.arange(len(x) - 1, -1, -1)
+            att = soft((x[-1] @ m.q) @ (x @ m.k).T / np.sqrt(p.dim) + m.near[far])
+            h = att @ (x @ m.v) + x[-1]
+            y = ids[at + k]
+            want = np.log(soft(h @ m.o + m.b)[m.group[y]]) + np.log(soft(h @ m.o2[m.group[y]] + m.b2[m.group[y]])[m.leaf[y]]) + m.cond[y]
+            assert got[at + k] == pytest.approx(want / np.log(10), rel=1e-4), (size, k)
+        at += size
+
+
+def test_lm_layout_and_growth(spark, docs):
+    """Scores do not hang on the layout of the rows; what is learned from grows with the corpus."""
+    few = docs.filter("length(text) < 3000")
+    p = lmscore.Params(steps=40, sample_words=2000, refine_percent=60.0, shard_words=150)
+    a, b = ({r["doc_id"]: r["score"] for r in lmscore.score(few.repartition(n, "text"), p).collect()} for n in (1, 5))
+    assert a == pytest.approx(b, rel=1e-5)
+    c = {r["doc_id"]: r["score"] for r in lmscore.score(few, lmscore.Params(steps=40, sample_words=2000, refine_percent=0.001)).collect()}
+    assert any(abs(c[i] - a[i]) > 1e-3 * abs(a[i]) for i in a)
+    sample = lambda share: lmscore.sampled(few, share, 1).count()
+    assert sample(0.2) < sample(0.6) < sample(1.0) == few.select("doc_id").distinct().count()
+
+
+def test_lm_table():
+    rng = np.random.default_rng(0)
+    t, h = lmscore.Table(8), np.unique(rng.integers(1, 1 << 63, 150, dtype=np.uint64)) | np.uint64(1)
+    h = np.unique(np.concatenate((h, h[:40] & np.uint64(0xFF00000000000001) | np.uint64(3))))
+    t.add(h[:100], np.arange(100, dtype=np.int32))
+    t.add(h[100:], np.arange(100, len(h), dtype=np.int32))
+    assert t.find(h).tolist() == list(range(len(h))) and (t.find(h + np.uint64(1)) == -1).all()
 
 
 def chat_brute(roles, p):
