@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterable
 
 import pandas as pd
@@ -12,15 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), default=str)
-
-
-def short_key(*parts) -> str:
-    """16 hex digits over canonical JSON, for stage and request keys."""
-    return hashlib.blake2b(canonical(parts).encode(), digest_size=8).hexdigest()
-
-
 @F.pandas_udf(StringType())
 def _blake8(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=8).hexdigest())

@@ -1,6 +1,8 @@
 """The whole chain from subtitles and scene logs to edit lists, for many sources at once, as memoised stages.
 
-Models stay outside: ``answer`` replies to a prompt, ``write`` gives an act's lines, ``say`` the seconds that a line takes.
+Models stay outside, as producers with a version: ``answer`` replies to a prompt, ``write`` gives an act's lines, ``say``
+the seconds that a line takes, ``embed`` (optional) the vectors of texts that shots are to look like; ``frames``
+(optional) is a table of the shots' own vectors and brightness: source_id, i, embedding, luma.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ from ..operators import intervals as G
 from ..operators import joins as J
 from ..operators.selection import Rules, select_clips
 from ..sources.producers import ask, speak
+from ..sources.producers import embed as vectors
 from ..sources.scenelog import parse_scene_log
 from ..sources.subtitles import parse_subtitles
-from .memo import Memo, Outcome, run_dag
+from .memo import Memo, Producer, Stage, Step, digest, run_graph
 from .story import mechanical_story, sequence_requests, write_acts
 
 BEATS = "array<struct<start_s string, end_s string, summary string, kind string, importance string>>"
+TWISTS = "array<struct<at_s string, what string, severity string>>"
 
 
 def content(cues: DataFrame, sources: DataFrame) -> DataFrame:
@@ -37,30 +41,49 @@ def scenemap(raw: DataFrame, sources: DataFrame, least: float = 10.0) -> DataFra
     return G.build_shots(G.threshold_cuts(G.cut_dedupe(parse_scene_log(raw)), least), sources)
 
 
-def story(cues: DataFrame, sources: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:
-    """Beats out of the replies to one request per window of dialogue; a reply without an object adds none."""
+def replies(cues: DataFrame, sources: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:
+    """source_id, index, reply: one request per window of dialogue."""
+    asked = sequence_requests(cues, sources.select("source_id", F.col("duration").alias("runtime_s")))
+    return asked.select("source_id", "index", "tag").join(ask(asked.select("tag", "key", "system", "prompt"), answer).select("tag", "reply"), "tag").drop("tag")
+
+
+def told(replies: DataFrame, field: str, kind: str) -> DataFrame:
+    """The rows of one list in all replies, in order (``ord``); a reply without an object adds none."""
+    found = F.try_variant_get(T.extract_json(F.col("reply")), f"$.{field}", kind)
+    rows = replies.select("source_id", "index", F.posexplode(found).alias("_k", "b")).select("source_id", "index", "_k", "b.*")
+    return rows.withColumn("ord", F.row_number().over(W.partitionBy("source_id").orderBy("index", "_k")) - 1).drop("index", "_k")
+
+
+def story(replies: DataFrame, sources: DataFrame) -> DataFrame:
+    """Beats, spaced out by importance."""
     runtime = sources.select("source_id", F.col("duration").alias("runtime_s"))
-    asked = sequence_requests(cues, runtime)
-    replies = asked.select("source_id", "index", "tag").join(ask(asked.select("tag", "key", "system", "prompt"), answer).select("tag", "reply"), "tag")
-    found = F.try_variant_get(T.extract_json(F.col("reply")), "$.beats", BEATS)
-    beats = replies.select("source_id", "index", F.posexplode(found).alias("_k", "b")).select("source_id", "index", "_k", "b.*")
-    beats = beats.withColumn("ord", F.row_number().over(W.partitionBy("source_id").orderBy("index", "_k")) - 1)
-    return mechanical_story(beats.withColumns({"start": M.num(F.col("start_s"), -1.0), "importance": M.num(F.col("importance"), 3.0).cast("string")}), runtime).drop("index", "_k", "ord", "start")
+    beats = told(replies, "beats", BEATS)
+    return mechanical_story(beats.withColumns({"start": M.num(F.col("start_s"), -1.0), "importance": M.num(F.col("importance"), 3.0).cast("string")}), runtime).drop("ord", "start")
+
+
+def twists(replies: DataFrame, sources: DataFrame) -> DataFrame:
+    """source_id, at_s, what, severity: what must not be shown before it is told."""
+    return E.normalise_twists(told(replies, "twists", TWISTS), sources.select("source_id", F.col("duration").alias("runtime_s"))).select("source_id", "at_s", "what", "severity")
 
 
-def script(beats: DataFrame, sources: DataFrame, write: Callable[[dict, list[str]], list[str]]) -> DataFrame:
-    """Lines of three acts, each line on the beat at its own place in the act, anchored in running order."""
+def script(beats: DataFrame, cues: DataFrame, twists: DataFrame, sources: DataFrame, write: Callable[[dict, list[str]], list], lookahead_s: float = 180.0) -> DataFrame:
+    """Lines of three acts. A line is on the beat it names, else on the one at its own place in the act, and at the cue that
+    it cites if that lies within the beat, else at the beat's start; anchors never go back, nor out of the act. The ceiling
+    is how far footage may look ahead without giving the next twist away."""
     runtime = sources.select("source_id", F.col("duration").alias("runtime_s"))
     acts = E.acts_or_thirds(runtime.select("source_id", F.lit(0).alias("act"), F.lit(0.0).alias("start_s"), F.lit(-1.0).alias("end_s")), runtime)
     lines = write_acts(acts, write).withColumn("narration", T.clean_narration(F.col("narration"))).filter("narration <> ''")
     lines = lines.withColumn("ord", F.row_number().over(W.partitionBy("source_id", "act").orderBy("i")) - 1)
-    lines = lines.withColumn("beat_id", F.lit(None).cast("int"))
     bounds = acts.select("source_id", "act", F.col("start_s").alias("_low"), F.col("end_s").alias("_high"))
-    seated = J.within(beats.select("source_id", "i", "start_s"), bounds, "start_s", "_low", "_high").select("source_id", "i", "act", "start_s")
+    seated = J.within(beats.select("source_id", "i", "start_s", "end_s"), bounds, "start_s", "_low", "_high")
     x = J.resolve_beat(lines, seated.select("source_id", "i", "act"))
-    x = x.join(seated.select("source_id", F.col("i").alias("beat_id"), F.col("start_s").alias("_at")), ["source_id", "beat_id"], "left").join(bounds, ["source_id", "act"])
-    x = x.withColumn("story_time", F.max(F.coalesce("_at", "_low")).over(W.partitionBy("source_id").orderBy("i")))
-    return x.select("source_id", "act", "i", "narration", "beat_id", "story_time", "unresolved")
+    x = x.join(seated.select("source_id", F.col("i").alias("beat_id"), F.col("start_s").alias("beat_start"), F.col("end_s").alias("beat_end")), ["source_id", "beat_id"], "left")
+    x = J.cite_cue(x, cues.select("source_id", "i", "start")).join(bounds, ["source_id", "act"])
+    held = F.greatest("_low", F.least(F.coalesce("anchor", "_low"), "_high"))
+    x = x.withColumn("story_time", F.max(held).over(W.partitionBy("source_id").orderBy("i")))
+    x = J.asof_next(x, twists.select("source_id", "at_s"), "story_time", "at_s").join(runtime, "source_id")
+    x = x.withColumn("spoiler_ceiling", M.spoiler_ceiling(F.col("story_time"), F.col("next._rt"), F.col("runtime_s"), lookahead_s))
+    return x.select("source_id", "act", "i", "narration", "visual_query", "beat_id", "story_time", "spoiler_ceiling", "unresolved", "anchored")
 
 
 def narrate(lines: DataFrame, say: Callable[[str], float]) -> DataFrame:
@@ -69,18 +92,20 @@ def narrate(lines: DataFrame, say: Callable[[str], float]) -> DataFrame:
     return G.place_cumulative(spoken, ["script_i"])
 
 
-def index(shots: DataFrame, beats: DataFrame, cues: DataFrame, sources: DataFrame) -> DataFrame:
-    """Shots around the beats, inside the content, without the tail."""
+def index(shots: DataFrame, beats: DataFrame, cues: DataFrame, sources: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Shots around the beats, inside the content, without the tail, and with what is known of their frames."""
     span = content(cues, sources)
     regions = G.clamp_regions(G.adaptive_regions(beats.select("source_id", F.col("start_s").alias("t")), sources), span)
-    return J.overlap_semi(shots.filter("not tail"), regions)
+    x = J.overlap_semi(shots.filter("not tail"), regions)
+    return x if frames is None else x.join(frames.select("source_id", "i", "embedding", "luma"), ["source_id", "i"], "left")
 
 
-def select(lines: DataFrame, beats: DataFrame, shots: DataFrame, cues: DataFrame, sources: DataFrame, rules: Rules) -> DataFrame:
+def select(lines: DataFrame, beats: DataFrame, shots: DataFrame, cues: DataFrame, sources: DataFrame, rules: Rules, embed: Callable | None = None) -> DataFrame:
     span = content(cues, sources)
-    x = G.line_windows(lines.withColumn("spoiler_ceiling", F.col("story_time")), beats, span)
+    x = G.line_windows(lines, beats, span)
     limits = span.select("source_id", F.col("duration").alias("runtime_s"), F.col("low").alias("content_low"), F.col("high").alias("content_high"))
-    return select_clips(x.join(limits, "source_id"), shots, rules)
+    x = x.join(limits, "source_id")
+    return select_clips(vectors(x, "visual_query", embed) if embed else x, shots, rules)
 
 
 def run(
@@ -88,24 +113,27 @@ def run(
     subtitles: DataFrame,
     logs: DataFrame,
     sources: DataFrame,
-    answer: Callable[[str, str], str],
-    write: Callable[[dict, list[str]], list[str]],
-    say: Callable[[str], float],
+    answer: Producer,
+    write: Producer,
+    say: Producer,
+    embed: Producer | None = None,
+    frames: DataFrame | None = None,
     rules: Rules = Rules(),
-    inputs: str = "",
-    force=(),
-) -> dict[str, Outcome]:
-    """All stages. ``subtitles`` and ``logs``: source_id, content; ``sources``: source_id, duration; ``inputs`` names
-    their state (it is part of the first keys, so a change of the inputs must change it). A failed stage skips
-    those that need it."""
+    anew=(),
+) -> dict[str, Step]:
+    """All stages. ``subtitles`` and ``logs``: source_id, content; ``sources``: source_id, duration. Results are used again
+    only for the same rows of all tables and the same versions of all producers. A broken stage blocks those that need it."""
+    seen = {"sources": digest(sources)}
+    by = lambda **k: seen | {n: p.version if isinstance(p, Producer) else p for n, p in k.items()}
     stages = [
-        ("ingest", 1, [], lambda: parse_subtitles(subtitles)),
-        ("scenemap", 1, [], lambda: scenemap(logs, sources)),
-        ("story", 1, ["ingest"], lambda cues: story(cues, sources, answer)),
-        ("script", 1, ["story"], lambda beats: script(beats, sources, write)),
-        ("narrate", 1, ["script"], lambda lines: narrate(lines, say)),
-        ("index", 1, ["scenemap", "story", "ingest"], lambda shots, beats, cues: index(shots, beats, cues, sources)),
-        ("select", 1, ["narrate", "story", "index", "ingest"], lambda a, b, c, d: select(a, b, c, d, sources, rules)),
+        Stage("ingest", 1, [], lambda: parse_subtitles(subtitles), {"subtitles": digest(subtitles)}),
+        Stage("scenemap", 1, [], lambda: scenemap(logs, sources), by(logs=digest(logs))),
+        Stage("replies", 1, ["ingest"], lambda cues: replies(cues, sources, answer), by(answer=answer)),
+        Stage("story", 2, ["replies"], lambda r: story(r, sources), seen),
+        Stage("twists", 1, ["replies"], lambda r: twists(r, sources), seen),
+        Stage("script", 2, ["story", "ingest", "twists"], lambda b, c, t: script(b, c, t, sources, write), by(write=write)),
+        Stage("narrate", 1, ["script"], lambda lines: narrate(lines, say), by(say=say)),
+        Stage("index", 2, ["scenemap", "story", "ingest"], lambda s, b, c: index(s, b, c, sources, frames), by(frames=digest(frames) if frames is not None else None)),
+        Stage("select", 2, ["narrate", "story", "index", "ingest"], lambda a, b, c, d: select(a, b, c, d, sources, rules, embed), by(rules=str(rules), embed=embed)),
     ]
-    first = {"inputs": inputs}
-    return run_dag(memo, stages, force, {"ingest": first, "scenemap": first, "select": {"rules": str(rules)}})
+    return run_graph(memo, stages, anew)

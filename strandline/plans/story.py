@@ -76,16 +76,27 @@ def act_budget(acts: DataFrame, target_words: int = 2200, words_per_segment: int
 def write_acts(acts: DataFrame, fn, by: str = "source_id") -> DataFrame:
     """Acts written one after the other, each told the last two lines so far: sequential inside a source.
 
-    ``fn(act, recent) -> list[str]``; ``acts`` has (source_id, act, ...).
+    ``fn(act, recent)`` gives the act's lines, each a text or a mapping with ``narration`` and perhaps ``beat_id``,
+    ``line_id`` (the cue that it cites) and ``visual_query`` (the narration if absent). ``acts`` has (source_id, act, ...).
     """
     import pandas as pd
 
     kind = dict(acts.dtypes)[by]
+    cols = [by, "act", "i", "narration", "visual_query", "beat_id", "line_id"]
+
+    def whole(x) -> int | None:
+        try:
+            return int(x)
+        except (TypeError, ValueError):
+            return None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         for row in pdf.sort_values("act").to_dict("records"):
-            out += [(row[by], int(row["act"]), len(out) + k, t) for k, t in enumerate(fn(row, [o[3] for o in out[-2:]]))]
-        return pd.DataFrame(out, columns=[by, "act", "i", "narration"])
+            for x in fn(row, [o[3] for o in out[-2:]]):
+                x = {"narration": x} if isinstance(x, str) else dict(x)
+                out.append((row[by], int(row["act"]), len(out), x.get("narration"), x.get("visual_query") or x.get("narration"), whole(x.get("beat_id")), whole(x.get("line_id"))))
+        frame = pd.DataFrame(out, columns=cols)
+        return frame.astype({"beat_id": "Int32", "line_id": "Int32"})
 
-    return acts.groupBy(by).applyInPandas(run, f"{by} {kind}, act int, i int, narration string")
+    return acts.groupBy(by).applyInPandas(run, f"{by} {kind}, act int, i int, narration string, visual_query string, beat_id int, line_id int")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from strandline.functions import math as M
 from strandline.functions import text as T
-from strandline.functions.hashing import fingerprint, sample_offsets, short_key
+from strandline.functions.hashing import fingerprint, sample_offsets
 from strandline.operators import intervals as G
 from strandline.operators import joins as J
 from strandline.operators.selection import Rules, select_clips
-from strandline.plans.memo import Memo, run_dag
+from strandline.plans.memo import Memo, Stage, address_of, digest, run_graph
 from strandline.sources.scenelog import parse_scene_log
 from strandline.sources.subtitles import parse_subtitles
 
@@ -110,7 +110,7 @@ def test_scalars(spark):
 
 
 def test_keys():
-    assert short_key("a", {"y": 1, "x": 2}) == short_key("a", {"x": 2, "y": 1})
+    assert address_of("a", {"y": 1, "x": 2}) == address_of("a", {"x": 2, "y": 1}) != address_of("a", {"x": 1, "y": 2})
     assert len(sample_offsets(10)) == 1 and len(sample_offsets(100 << 20)) == 3
     assert fingerprint(3, [b"abc"]) != fingerprint(4, [b"abc"])
 
@@ -132,13 +132,18 @@ def test_selection_properties(spark, mode):
 
 def test_memo(spark, tmp_path):
     memo = Memo(spark, str(tmp_path))
-    stages = [("a", 1, [], lambda: spark.range(3)), ("b", 1, ["a"], lambda a: a.filter("id > 0")), ("c", 1, ["b"], lambda b: 1 / 0), ("d", 1, ["c"], lambda c: c)]
-    first = run_dag(memo, stages)
-    assert [first[n].status for n in "abcd"] == ["computed", "computed", "failed", "skipped"]
-    again = run_dag(memo, stages[:2], force=["b"])
-    assert again["a"].was_cached and again["b"].status == "computed" and again["b"].df.count() == 2
+    stages = [Stage("a", 1, [], lambda: spark.range(3)), Stage("b", 1, ["a"], lambda a: a.filter("id > 0")), Stage("c", 1, ["b"], lambda b: 1 / 0), Stage("d", 1, ["c"], lambda c: c)]
+    first = run_graph(memo, stages)
+    assert [first[n].state for n in "abcd"] == ["made", "made", "broken", "blocked"]
+    again = run_graph(memo, stages[:2], anew=["b"])
+    assert [again[n].state for n in "ab"] == ["reused", "made"] and again["b"].table.count() == 2
+    changed = run_graph(memo, [stages[0]._replace(settings={"x": 1}), stages[1]])
+    assert [changed[n].state for n in "ab"] == ["made", "made"] and changed["b"].address != first["b"].address
+    assert [r["state"] for r in memo.journal().collect()][:4] == ["made", "made", "broken", "blocked"]
     with pytest.raises(ValueError):
-        run_dag(memo, stages, force=["nope"])
+        run_graph(memo, stages, anew=["nope"])
+    x = spark.createDataFrame([(1, None), (2, "b")], "a int, b string")
+    assert digest(x) == digest(x.orderBy("a", ascending=False).repartition(3)) != digest(x.na.fill("c"))
 
 
 def test_streaming_matches_batch(spark, tmp_path):
