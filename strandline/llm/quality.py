@@ -6,16 +6,18 @@ without any true label, and gives the posterior of each pattern. The posteriors
 scorer (logistic, on presence of hashed words and on shape features), which then judges every document by its
 whole text, also those on which the labellers are silent.
 
-There are two tasks, each with its own labellers: quality and toxicity. Toxic words are induced from a bounded set
-of labelled documents as words that occur in toxic documents and in hardly any other, and dealt to several
-labellers by a hash; a short list of insults is one more labeller.
+There are two tasks, each with its own labellers and its own scorer: quality and toxicity. Words that mark toxic texts
+are a seed list and words that occur, in a bounded set of labelled documents, in toxic ones and in hardly any other. Each
+such word is in two of several lists; a list votes toxic on a text with a word of its own and clean on one of some length
+without any. What is returned is the scorer's word alone.
 
 Vote patterns are counted by a distributed sum; there are at most 3^labellers of them. The scorer's weights are
-learned on a bounded sample (``sample`` documents); votes and patterns cover all documents.
+learned on a bounded sample (``sample`` documents), chosen and ordered by a hash of doc_id and text, so results do not
+hang on how rows are laid out; votes and patterns cover all documents.
 
 Defined results: a NULL or word-less text gets no opinion and NULL scores and is not kept; repeated documents are
 judged alike; a NULL doc_id is judged like any other; extra columns are ignored; without labels toxicity has only
-the fixed list; an empty table gives no rows.
+the seed words; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,23 +33,26 @@ from pyspark.sql import functions as F
 from ._store import Store, lean
 from ._text import U, Words, buffers, mix, runs, sequences, to_list
 
-# Common English insults.
+# Seed words of the lexicon: common English insults.
 INSULTS = ("idiot", "moron", "scum", "loser", "stupid", "pathetic", "worthless", "disgusting", "trash", "clown")
 
 
 @dataclass(frozen=True)
 class Params:
     """``labelled``: documents with labels at most that toxic words are induced from; ``sample`` documents at most that
-    the scorer learns from; ``buckets`` of hashed words; ``lists``: labellers that share the induced words."""
+    the scorer learns from; ``buckets`` of hashed words and word beginnings (``stem`` bytes); ``lists``: labellers that share
+    the toxic words; ``enough`` words for a vote that a text is clean."""
 
     labelled: int = 20_000
-    sample: int = 8_000
+    sample: int = 20_000
     buckets: int = 1 << 18
     lists: int = 4
+    stem: int = 6
+    enough: int = 8
     least_docs: int = 4
     purity: float = 0.92
     em_rounds: int = 60
-    epochs: int = 6
+    epochs: int = 10
     seed: int = 11
     keep_quality: float = 0.5
     drop_toxic: float = 0.5
@@ -97,9 +102,10 @@ def bucket_of(h: np.ndarray, p: Params) -> np.ndarray:
     return (mix(h) & U(p.buckets - 1)).astype(np.int64)
 
 
-def presence(w: Words, h: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, bucket) pairs, in order of rows."""
-    pair = np.unique((w.row.astype(np.int64) << 32) | bucket_of(h, p))
+def presence(w: Words, h: list[np.ndarray], p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, bucket) pairs of one or more hashes per word, in order of rows."""
+    row = w.row.astype(np.int64) << 32
+    pair = np.unique(np.concatenate([row | bucket_of(x, p) for x in h]))
     return pair >> 32, pair & ((1 << 32) - 1)
 
 
@@ -107,8 +113,8 @@ _TRIM = np.ones(256, bool)
 _TRIM[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = False
 
 
-def bare_hashes(w: Words) -> np.ndarray:
-    """Hash of each word without its ASCII punctuation, in lower case."""
+def bare(w: Words) -> Words:
+    """The words without ASCII punctuation at their edges; what is inside becomes a blank."""
     data = np.where(_TRIM[w.data], w.data, 0x20)
     # punctuation becomes a blank inside the same word: the hash is over the letters that stay, in order
     x = Words.__new__(Words)
@@ -119,7 +125,17 @@ def bare_hashes(w: Words) -> np.ndarray:
     tail = np.searchsorted(keep, keep[w.end], side="left")
     x.start = np.minimum(np.maximum(w.start, lead), w.end)
     x.end = np.maximum(x.start, np.minimum(w.end, tail))
-    return x.hashes(lower=True)
+    return x
+
+
+def word_hashes(w: Words, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each bare word in lower case and of its beginning."""
+    if not len(w.start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    x = bare(w)
+    whole = x.hashes(lower=True)
+    x.end = np.minimum(x.end, x.start + p.stem)
+    return whole, mix(x.hashes(lower=True) + U(1))
 
 
 def toxic_words(docs: DataFrame, labels: DataFrame | None, p: Params) -> np.ndarray:
@@ -127,7 +143,7 @@ def toxic_words(docs: DataFrame, labels: DataFrame | None, p: Params) -> np.ndar
     fixed = Words(np.frombuffer(" ".join(INSULTS).encode(), np.uint8), np.array([0, len(" ".join(INSULTS).encode())]), 0, 1).hashes(lower=True)
     if labels is None:
         return fixed
-    lab = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"])
+    lab = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     lab = lab.orderBy(F.xxhash64("doc_id", F.lit(p.seed))).limit(p.labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +152,7 @@ def toxic_words(docs: DataFrame, labels: DataFrame | None, p: Params) -> np.ndar
             tox = b.column("toxic").to_numpy()
             for i, j in runs(off):
                 w = Words(data, off, i, j)
-                pair = np.unique(np.stack([w.row.astype(np.uint64), bare_hashes(w)]), axis=1) if len(w.start) else np.zeros((2, 0), np.uint64)
+                pair = np.unique(np.stack([w.row.astype(np.uint64), word_hashes(w, p)[0]]), axis=1) if len(w.start) else np.zeros((2, 0), np.uint64)
                 t = tox[i + pair[0].astype(np.int64)] if pair.shape[1] else np.zeros(0, np.int32)
                 u, inv = np.unique(pair[1], return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(inv, t == 1, len(u)).astype(np.int64)), pa.array(np.bincount(inv, minlength=len(u)))], names=["h", "bad", "n"])
@@ -212,19 +228,20 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, p: Params = Param
     bad_words = spark.sparkContext.broadcast(toxic_words(docs, labels, p))
     lists = p.lists + 1
 
-    def votes_of(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def votes_of(w: Words, h: np.ndarray, hb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         f = features(w, h)
-        has = np.diff(w.first) > 0
+        size = np.diff(w.first)
+        has = size > 0
         q = quality_votes(f, has)
         bad = bad_words.value
-        hb = bare_hashes(w) if len(w.start) else np.zeros(0, np.uint64)
         at = np.minimum(np.searchsorted(bad, hb), len(bad) - 1)
         hit = np.flatnonzero(bad[at] == hb)
-        t = np.full((w.n, lists), 2, np.int64)
-        row, which = w.row[hit], (mix(hb[hit]) % U(p.lists)).astype(np.int64)
-        t[row, which] = 1
+        t = np.where(size >= p.enough, 0, 2)[:, None].repeat(lists, axis=1)
+        row, k = w.row[hit], mix(hb[hit])
+        for which in (k % U(p.lists), (k // U(p.lists) + k // U(64)) % U(p.lists)):  # a word is in two lists, or twice in one
+            t[row, which.astype(np.int64)] = 1
         # the last one goes by density and has an opinion on every text
-        dense = np.bincount(row, minlength=w.n)[: w.n] / np.maximum(1, np.diff(w.first))
+        dense = np.bincount(row, minlength=w.n)[: w.n] / np.maximum(1, size)
         t[:, -1] = np.where(dense >= 0.01, 1, np.where(dense == 0, 0, 2))
         t[~has] = 2
         return f, q, t
@@ -237,7 +254,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, p: Params = Param
             data, off = buffers(b.column("text"))
             for i, j in runs(off):
                 w = Words(data, off, i, j)
-                _, q, t = votes_of(w, w.hashes(lower=True))
+                _, q, t = votes_of(w, w.hashes(lower=True), word_hashes(w, p)[0])
                 for kind, v in ((0, q), (1, t)):
                     u, n = np.unique(pattern(v), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(n)], names=["task", "pattern", "n"])
@@ -249,26 +266,26 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, p: Params = Param
         codes = np.array([c for c, _ in rows], np.int64)
         votes = (codes[:, None] // 3 ** np.arange(m)) % 3
         post, _ = em(votes, np.array([n for _, n in rows], float), p.em_rounds, prior) if rows else (np.zeros(0), None)
-        # one list's vote for toxic is what it says; a text in which no list finds anything is clean
         table = np.full(3**m, prior)
         table[codes] = post
         posts.append(table)
     total = sum(r["n"] for r in found if r["task"] == 0)
     share = min(1.0, p.sample / max(1, total))
-    pick = F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    chosen = docs.select(F.xxhash64("doc_id", "text", F.lit(p.seed)).alias("id"), "text")
+    chosen = chosen.filter(F.pmod("id", F.lit(1 << 40)) < int(share * (1 << 40)) + 1).dropDuplicates(["id"])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = buffers(b.column("text"))
             for i, j in runs(off):
                 w = Words(data, off, i, j)
-                h = w.hashes(lower=True)
-                f, q, t = votes_of(w, h)
-                r, k = presence(w, bare_hashes(w) if len(h) else h, p)
+                hb = word_hashes(w, p)
+                f, q, t = votes_of(w, w.hashes(lower=True), hb[0])
+                r, k = presence(w, hb, p)
                 size = np.bincount(r, minlength=w.n)[: w.n]
-                yield pa.RecordBatch.from_arrays([to_list(k.astype(np.int32), size, pa.int32()), to_list(f.ravel(), np.full(w.n, f.shape[1]), pa.float64()), pa.array(posts[0][pattern(q)]), pa.array(posts[1][pattern(t)])], names=["k", "f", "q", "t"])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), to_list(k.astype(np.int32), size, pa.int32()), to_list(f.ravel(), np.full(w.n, f.shape[1]), pa.float64()), pa.array(posts[0][pattern(q)]), pa.array(posts[1][pattern(t)])], names=["id", "k", "f", "q", "t"])
 
-    got = docs.filter(pick).select("text").mapInArrow(lean(sample), "k array<int>, f array<double>, q double, t double").toArrow()
+    got = chosen.mapInArrow(lean(sample), "id long, k array<int>, f array<double>, q double, t double").toArrow().sort_by("id")
     if got.num_rows:
         ks = got.column("k").combine_chunks()
         off, flat = ks.offsets.to_numpy(), ks.values.to_numpy().astype(np.int64)
@@ -286,9 +303,9 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, p: Params = Param
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, j in runs(off):
                 w = Words(data, off, i, j)
-                h = w.hashes(lower=True)
-                f, q, t = votes_of(w, h)
-                r, k = presence(w, bare_hashes(w) if len(h) else h, p)
+                hb = word_hashes(w, p)
+                f, q, t = votes_of(w, w.hashes(lower=True), hb[0])
+                r, k = presence(w, hb, p)
                 for c, (wt, u, bias, mean, std) in enumerate(models):
                     s = np.bincount(r, wt[k], w.n)[: w.n] + ((f - mean) / std) @ u + bias
                     cols[c].append(1 / (1 + np.exp(-np.clip(s, -30, 30))))
@@ -301,7 +318,5 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, p: Params = Param
 
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = x.mapInArrow(lean(run), "doc_id long, quality double, toxic double, quality_posterior double, toxic_posterior double")
-    # a document is toxic if either the labellers or the scorer say so with confidence
-    toxic = F.greatest("toxic", "toxic_posterior")
-    kept = F.coalesce((F.col("quality") >= p.keep_quality) & (toxic < p.drop_toxic), F.lit(False))
-    return out.select("doc_id", "quality", toxic.alias("toxic"), kept.alias("kept"), "quality_posterior", "toxic_posterior")
+    kept = F.coalesce((F.col("quality") >= p.keep_quality) & (F.col("toxic") < p.drop_toxic), F.lit(False))
+    return out.select("doc_id", "quality", "toxic", kept.alias("kept"), "quality_posterior", "toxic_posterior")
