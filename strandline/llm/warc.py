@@ -31,6 +31,7 @@ MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
 DATE = "2024-01-01T00:00:00Z"
 NO_ID = "none"
+PIECE = 8 << 10
 
 
 @dataclass(frozen=True)
@@ -121,15 +122,18 @@ def read_archive(raw: bytes) -> Iterator[dict]:
     while at < len(raw):
         if len(raw) - at < 4 or struct.unpack_from("<I", raw, at)[0] != ZSTD_MAGIC:
             raise FormatError(f"no frame at byte {at}")
-        d = make.decompressobj()
+        d, record, end = make.decompressobj(), [], at
         try:
-            record = d.decompress(view[at:])
+            while not d.eof and end < len(raw):  # in pieces, since what a frame leaves over of its last one is copied
+                piece = view[end : end + PIECE]
+                record.append(d.decompress(piece))
+                end += len(piece)
         except zstandard.ZstdError as e:
             raise FormatError(f"bad frame at byte {at}: {e}") from None
         if not d.eof:
             raise FormatError("the last frame is cut off")
-        at = len(raw) - len(d.unused_data)
-        yield decode_record(record)
+        at = end - len(d.unused_data)
+        yield decode_record(b"".join(record))
 
 
 def train_dictionary(payloads: list[bytes], p: Params) -> bytes:
