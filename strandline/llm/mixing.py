@@ -150,9 +150,9 @@ def mix(docs: DataFrame, p: Params = Params()) -> DataFrame:
     picked = choose(docs, p).groupBy("doc_id", "row_hash").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
     picked = store.save(picked.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "copies", "rows"), "picked")
     shape = picked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("rows"), F.lit(0)).alias("most")).first()
-    key = (row_hash(docs) == picked["_hash"]) & docs["doc_id"].eqNullSafe(picked["_id"])
-    out = docs.join(small(picked, shape["n"], 48), key)
+    # the document's own columns stay inside ``row``, so that no name can clash
+    rows = docs.select(F.col("doc_id").alias("_own"), row_hash(docs).alias("_key"), F.struct(*docs.columns).alias("row"))
+    out = rows.join(small(picked, shape["n"], 48), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")))
     if shape["most"] > 1:
-        one = out.filter("rows > 1").dropDuplicates(["_id", "_hash"])
-        out = out.filter("rows = 1").unionByName(one)
-    return out.select(*[docs[c] for c in docs.columns], picked["copies"])
+        out = out.filter("rows = 1").unionByName(out.filter("rows > 1").dropDuplicates(["_id", "_hash"]))
+    return out.select("row.*", "copies")
