@@ -39,11 +39,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     odd = store.save(per.filter("not kept or n > 1"), "odd")
     count = odd.agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("again")).first()
     odd = small(odd, count["n"], 32)
-    key = (docs["doc_id"] == odd["_id"]) & (F.xxhash64(docs["text"]) == odd["_hash"])
-    out = docs.join(odd, key, "left_anti")
+    # the document's own columns stay inside ``row``, so that no name can clash
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("row"))
+    out = rows.join(odd, ["_id", "_hash"], "left_anti")
     if count["again"]:
-        out = out.unionByName(docs.join(odd.filter("kept"), key).dropDuplicates(["_id", "_hash"]).select(*[docs[c] for c in docs.columns]))
-    return out
+        out = out.unionByName(rows.join(odd.filter("kept").select("_id", "_hash"), ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]))
+    return out.select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +73,8 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the target weights choose, with ``copies``.
 
-    A NULL doc_id is taken like any other; texts without tokens have no copies and go; rows that agree in doc_id, text,
-    lang and source become one with the copies of all; a column named ``copies`` is replaced; an empty table stays empty.
+    A NULL doc_id is taken like any other; a text without tokens costs nothing and comes as often as its leaf does; rows
+    that agree in doc_id, text, lang and source become one with the copies of all; a column named ``copies`` is replaced; an empty table stays empty.
     """
     return mixing.mix(docs)
 
