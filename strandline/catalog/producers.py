@@ -224,3 +224,36 @@ def embedded_lines(spark, sf):
 def tumbling_counts(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 100 + 0.5).cast("bigint").alias("value"))
     return ST.window_counts(e, "1 day").select("source_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.col("value").alias("cents"))
+
+
+@query("keyframed", "SELECT user_id AS source_id, event_id FROM events WHERE event_id % 7 <> 0 AND value > 20")
+def keyframed(spark, sf):
+    flag = F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("boolean")).otherwise(F.col("value") > 20)
+    return E.with_keyframe(events(spark, sf).withColumn("has_keyframe", flag)).select("source_id", "event_id")
+
+
+@query("shot_vectors", "SELECT e.user_id AS source_id, e.event_id, v.vec_id, v.embedding IS NULL AS missing FROM events e LEFT JOIN embeddings v ON v.vec_id = e.event_id % 1000 AND v.label % 150 = e.user_id % 10")
+def shot_vectors(spark, sf):
+    ev = events(spark, sf).select((F.col("source_id") % 10).cast("int").alias("label"), "source_id", "event_id", (F.col("event_id") % 1000).alias("clip_row"))
+    v = table(spark, sf, "embeddings").select((F.col("label") % 150).alias("label"), F.col("vec_id").alias("row"), F.struct("vec_id", "embedding").alias("embedding"))
+    x = J.shot_vectors(ev, v, ["label"])
+    return x.select("source_id", "event_id", F.col("embedding.vec_id").alias("vec_id"), F.col("embedding.embedding").isNull().alias("missing"))
+
+
+@query("retry_delays", "SELECT event_id, coalesce(least(120.0::DOUBLE, CASE WHEN event_id % 3 = 0 THEN value WHEN event_id % 3 = 1 THEN NULL END), least(60.0::DOUBLE, 4.0::DOUBLE * pow(2, event_id % 7))) AS delay FROM events")
+def retry_delays(spark, sf):
+    advice = F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string")).when(F.col("event_id") % 3 == 2, "soon")
+    return events(spark, sf).select("event_id", M.retry_delay(F.col("event_id") % 7, advice).alias("delay"))
+
+
+@query("fit_filters", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'scale=224:224:force_original_aspect_ratio=increase,crop=224:224' ELSE 'scale=224:224:force_original_aspect_ratio=decrease,pad=224:224:(ow-iw)/2:(oh-ih)/2:black' END AS filter FROM part")
+def fit_filters(spark, sf):
+    mode = F.when(F.col("p_size") % 2 == 0, "crop").when(F.col("p_size") % 3 == 0, "pad")
+    return table(spark, sf, "part").select("p_partkey", T.fit_filter(mode).alias("filter"))
+
+
+@query("summary_lines", "SELECT user_id AS source_id, count(*) || ' events, ' || count(DISTINCT event_type) || ' kinds' || CASE WHEN count_if(value > 300) > 0 THEN ', ' || count_if(value > 300) || ' large' ELSE '' END AS line FROM events GROUP BY 1")
+def summary_lines(spark, sf):
+    g = events(spark, sf).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("k"), F.count_if(F.col("value") > 300).alias("large"))
+    facts = F.array(F.concat_ws(" ", F.col("n").cast("string"), F.lit("events")), F.concat_ws(" ", F.col("k").cast("string"), F.lit("kinds")))
+    return g.select("source_id", A.summary_line(facts, (F.col("large"), "large")).alias("line"))

@@ -108,3 +108,8 @@ def min_max_rescale(c: Column, window, least: float = 1e-6) -> Column:
     """Rescale to [0, 1] over the window; left alone when the values hardly differ."""
     low, high = F.min(c).over(window), F.max(c).over(window)
     return F.when(high - low > least, (c - low) / (high - low)).otherwise(c)
+
+
+def retry_delay(attempt: Column, advice: Column) -> Column:
+    """Seconds before attempt number ``attempt`` (from 0) is repeated: the other side's advice up to 120, else 4 doubling to 60."""
+    return F.coalesce(F.least(F.lit(120.0), advice.try_cast("double")), F.least(F.lit(60.0), F.pow(F.lit(2.0), attempt) * 4.0))

@@ -139,3 +139,10 @@ def token_total(usage: Column) -> Column:
 def concat_path(path: Column) -> Column:
     """A path quoted for a concat list."""
     return F.concat(F.lit("'"), F.replace(path, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
+def fit_filter(mode: Column, size: int = 224) -> Column:
+    """The frame filter that crops to a square or, in any other mode, pads to one. The filter's words."""
+    box = f"{size}:{size}"
+    crop, pad = (f"scale={box}:force_original_aspect_ratio={how},{last}" for how, last in (("increase", f"crop={box}"), ("decrease", f"pad={box}:(ow-iw)/2:(oh-ih)/2:black")))
+    return F.when(mode == "crop", crop).otherwise(pad)

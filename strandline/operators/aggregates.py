@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -120,3 +120,9 @@ def keep_last_runs(runs: DataFrame, keep: int = 50, by: Sequence[str] = ()) -> D
         return runs.orderBy(F.desc("when")).limit(keep)
     w = W.partitionBy(*by).orderBy(F.desc("when"))
     return runs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).drop("_r")
+
+
+def summary_line(facts: Column, *doubts: tuple[Column, str]) -> Column:
+    """One line of text: an array of facts, then each number that is not zero with its word."""
+    more = [F.when(n > 0, F.concat_ws(" ", n.cast("string"), F.lit(word))) for n, word in doubts]
+    return F.array_join(F.concat(facts, F.array_compact(F.array(*more)) if more else F.array().cast("array<string>")), ", ")

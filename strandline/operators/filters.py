@@ -110,3 +110,8 @@ def similarity_floor(scored: DataFrame, by: Sequence[str], floor: float = 0.15)
 def speakable(segments: DataFrame) -> DataFrame:
     """Segments with both narration and a visual query."""
     return segments.filter((F.coalesce(F.trim("narration"), F.lit("")) != "") & (F.coalesce(F.trim("visual_query"), F.lit("")) != ""))
+
+
+def with_keyframe(shots: DataFrame) -> DataFrame:
+    """Shots of which there is a picture."""
+    return shots.filter(F.coalesce("has_keyframe", F.lit(False)))

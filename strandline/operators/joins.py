@@ -29,18 +29,40 @@ def overlap_join(left: DataFrame, right: DataFrame, by: Sequence[str] = BY, buck
 
 
 def overlap_semi(left: DataFrame, regions: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Rows of ``left`` that overlap any region strictly."""
-    r = regions.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("start").alias("_s"), F.col("end").alias("_e"))
-    cond = (F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s"))
-    for c in by:
-        cond = cond & (F.col(c) == F.col(f"_{c}"))
-    return left.join(r, cond, "left_semi")
+    """Rows of ``left`` that overlap any region strictly.
+
+    No join: of all regions that start before a row ends, the latest end says whether one reaches into the row. So both
+    sides pass once in order of time, and the work does not grow with the number of pairs.
+    """
+    row = F.struct(*left.columns).alias("_row")
+    a = left.select(*by, F.col("end").alias("_t"), F.lit(0).alias("_side"), row)
+    b = regions.select(*by, F.col("start").alias("_t"), F.lit(1).alias("_side"), F.col("end").alias("_end"))
+    x = a.unionByName(b, allowMissingColumns=True)
+    # at equal times the row comes first: a region that starts where the row ends does not overlap it
+    w = W.partitionBy(*by).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = x.withColumn("_reach", F.max("_end").over(w)).filter("_side = 0")
+    return x.filter(F.col("_reach") > F.col("_row.start")).select("_row.*")
 
 
 def within(points: DataFrame, ranges: DataFrame, t: str, low: str, high: str, by: Sequence[str] = BY, closed: bool = False) -> DataFrame:
-    """Points inside ranges of their source: ``low <= t < high``, or ``<=`` on both sides if ``closed``."""
-    top = F.col(t) <= F.col(high) if closed else F.col(t) < F.col(high)
-    return points.join(ranges, list(by)).filter((F.col(t) >= F.col(low)) & top)
+    """Pairs of points and the ranges that hold them: low <= t < high, or <= high if ``closed``.
+
+    Time is cut into buckets as long as a source's ranges are on average, so a range lies in about two of them and a point
+    meets only ranges near it.
+    """
+    span = F.greatest(F.avg(F.col(high) - F.col(low)), F.lit(1e-3))
+    size = ranges.groupBy(*by).agg(span.alias("_size"))
+    bucket = lambda c: F.floor(F.col(c) / F.col("_size")).cast("bigint")
+    r = ranges.filter(F.col(low) <= F.col(high)).join(size, list(by))
+    r = r.withColumn("_b", F.explode(F.sequence(bucket(low), bucket(high)))).drop("_size")
+    p = points.join(size, list(by)).withColumn("_b", bucket(t)).drop("_size")
+    inside = (F.col(t) >= F.col(low)) & ((F.col(t) <= F.col(high)) if closed else (F.col(t) < F.col(high)))
+    return p.join(r, [*by, "_b"]).filter(inside).drop("_b")
+
+
+def shot_vectors(shots: DataFrame, vectors: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Shots with the vector in their row of the source's matrix; NULL where they have none."""
+    return shots.join(vectors.select(*by, F.col("row").alias("clip_row"), "embedding"), [*by, "clip_row"], "left")
 
 
 def _merged(left: DataFrame, right: DataFrame, t: str, rt: str, payload: Sequence[str], by: Sequence[str]):

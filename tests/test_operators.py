@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,42 @@ def test_streaming_matches_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from wc").first()[0] == ev.count()
+
+
+def test_choices():
+    from strandline.plans.choose import by_will, first_working
+
+    assert first_working([0, 0, 2], lambda x: 1 / x) == (2, [(0, "ZeroDivisionError: division by zero")] * 2)
+    with pytest.raises(RuntimeError):
+        first_working([0], lambda x: 1 / x)
+    known = {"a": lambda: False, "b": lambda: True}
+    assert (by_will(known, " A "), by_will(known, None, "\ufeffa\n"), by_will(known, None, "gone")) == ("a", "a", "b")
+    with pytest.raises(ValueError):
+        by_will(known, "c")
+
+
+def test_npy_round_trip(spark, tmp_path):
+    from strandline.sources.matrices import read_npy, write_npy
+
+    rows = [(s, k, [float(k), len(s) / 2]) for s in ("a", "bb") for k in range(5)]
+    df = spark.createDataFrame(rows, "source_id string, row int, embedding array<float>")
+    assert sorted(r["rows"] for r in write_npy(df, f"file://{tmp_path}/m").collect()) == [5, 5]
+    assert sorted(tuple(r) for r in read_npy(spark, f"file://{tmp_path}/m").collect()) == sorted(rows)
+    assert np.load(tmp_path / "m" / "bb.npy").dtype == np.float32
+
+
+def test_range_joins_against_loops(spark):
+    from strandline.operators.joins import overlap_semi, within
+
+    rng = np.random.default_rng(3)
+    spans = [(s, k, float(a), float(a + d)) for s in "ab" for k, (a, d) in enumerate(zip(rng.integers(0, 200, 40), rng.integers(0, 30, 40), strict=True))]
+    a = spark.createDataFrame(spans, "source_id string, i int, start double, end double")
+    b = spark.createDataFrame([(s, x, x + 3.0) for s, _, x, _ in spans[::7]] + [("c", 0.0, 900.0)], "source_id string, start double, end double")
+    regions = b.collect()
+    want = {(s, k) for s, k, x, y in spans if any(r["source_id"] == s and x < r["end"] and y > r["start"] for r in regions)}
+    assert {(r["source_id"], r["i"]) for r in overlap_semi(a, b).collect()} == want
+    points = [(s, float(t)) for s in "ab" for t in range(0, 220, 3)]
+    p = spark.createDataFrame(points, "source_id string, t double")
+    for closed in (False, True):
+        want = sorted((s, t, k) for s, t in points for s2, k, x, y in spans if s == s2 and x <= t and (t < y or (closed and t == y)))
+        assert sorted((r["source_id"], r["t"], r["i"]) for r in within(p, a, "t", "start", "end", closed=closed).collect()) == want
