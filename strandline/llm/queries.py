@@ -30,7 +30,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), neardup.Params(words=4)).drop("text_hash")
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), neardup.Params(words=4)).drop("text_hash", "set_id")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,4 +45,33 @@ m AS (SELECT h, max(page_id) AS top FROM d WHERE n >= 1000 GROUP BY 1)
 SELECT d.page_id, n AS payload_bytes, d.h AS payload_digest, CASE WHEN top IS NULL OR n < 1000 OR top IS NOT DISTINCT FROM d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
  CASE WHEN top IS NULL OR n < 1000 OR top IS NOT DISTINCT FROM d.page_id THEN NULL ELSE top END AS refers_to FROM d LEFT JOIN m ON m.h = d.h"""
 
-ORACLES = {"op7_mixing": mixing_sql(), "op10_warc": WARC}
+VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY 1),
+n AS (SELECT a, count(*) AS k FROM l GROUP BY 1)
+SELECT t.vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, least(t.vec_id, coalesce(low, t.vec_id)) AS component_id, t.vec_id = least(t.vec_id, coalesce(low, t.vec_id)) AS kept
+ FROM embeddings t LEFT JOIN n ON n.a = t.vec_id LEFT JOIN c ON c.a = t.vec_id"""
+
+SHINGLES = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : least(i + 3, len(ws))], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+h AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept
+ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id"""
+
+PASSAGES = """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT g, min(doc_id) AS low FROM g GROUP BY 1),
+m AS (SELECT doc_id, i FROM g JOIN f USING (g) WHERE low < doc_id),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+y AS (SELECT doc_id, word, i, count(m.i) OVER (PARTITION BY doc_id ORDER BY x.i ROWS 49 PRECEDING) > 0 AS gone FROM x LEFT JOIN m USING (doc_id, i)),
+k AS (SELECT doc_id, count_if(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM y GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
+
+ORACLES = {"op2_embedding_neardup": VECTORS, "op5_minhash_neardup": SHINGLES, "op6_substring_dedup": PASSAGES, "op7_mixing": mixing_sql(), "op10_warc": WARC}
