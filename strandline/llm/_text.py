@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 18
 U = np.uint64
@@ -66,6 +67,11 @@ def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
+def text_of(b: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch, which has them as a column or, so that they travel once, inside the struct ``row`` only."""
+    return b.column("text") if "text" in b.schema.names else pc.struct_field(b.column("row"), "text")
+
+
 def runs(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes, or a single longer row."""
     i, n = 0, len(offsets) - 1

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import Store, lean
-from ._text import U, buffers, mix, runs, sequences, to_list
+from ._text import U, buffers, mix, runs, sequences, text_of, to_list
 
 
 @dataclass(frozen=True)
@@ -266,7 +266,7 @@ def find(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), carry: boo
             items: list[set[int]] = [set() for _ in range(len(b))]
             edits: list[int | None] = [None] * len(b)
             for shard in shards:
-                search(b.column("text"), shard.value, p, items, edits)
+                search(text_of(b), shard.value, p, items, edits)
                 if len(shards) > 1:
                     del shard._value  # a task holds one shard at a time; the next use reads it again
             flat = np.array([y for x in items for y in sorted(x)], np.int64)
@@ -276,5 +276,5 @@ def find(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), carry: boo
             yield pa.RecordBatch.from_arrays([*out, b.column("row")], names=[*names, "row"]) if carry else pa.RecordBatch.from_arrays(out, names=names)
 
     schema = T.StructType.fromDDL("doc_id long, kept boolean, n_items long, item_ids array<long>, best_edits long")
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct(*docs.columns).alias("row")] if carry else []))
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row") if carry else "text")
     return x.mapInArrow(lean(run), schema.add("row", x.schema["row"].dataType) if carry else schema)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ._store import Store, lean
-from ._text import U, buffers, mix, runs
+from ._text import U, buffers, mix, runs, text_of
 
 
 @dataclass(frozen=True)
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, p: Params = Params(), model: Model | None = None,
         m = shared.value
         names = np.array([*m.names, "und"], object)
         for b in batches:
-            text = b.column("text")
+            text = text_of(b)
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             hits = np.zeros((len(b), max(1, len(m.names))))
             size = np.zeros(len(b))
@@ -187,6 +187,6 @@ def identify(docs: DataFrame, p: Params = Params(), model: Model | None = None,
             yield pa.RecordBatch.from_arrays([*out, *(b.column(c) for c in kept)], names=["doc_id", "held_out", "lang_pred", "score", *kept])
 
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(p.folds)) == p.held, F.lit(False))
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text", *([F.struct(*docs.columns).alias("row")] if carry else []))
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.struct(*docs.columns).alias("row") if carry else "text")
     schema = T.StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double")
     return x.mapInArrow(lean(run), schema.add("row", x.schema["row"].dataType) if carry else schema)

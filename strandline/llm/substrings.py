@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import Store, lean, small
-from ._text import Words, buffers, runs, sequences, signed, to_list
+from ._text import Words, buffers, runs, sequences, signed, text_of, to_list
 
 
 @dataclass(frozen=True)
@@ -88,9 +88,9 @@ def documents(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             yield h[a:b]
 
 
-def texts(docs: DataFrame, *more) -> DataFrame:
+def texts(docs: DataFrame) -> DataFrame:
     """doc_id, tid (which tells rows of one doc_id apart), text."""
-    return docs.select("doc_id", F.xxhash64("text").alias("tid"), "text", *more)
+    return docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
 
 
 def anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
@@ -340,7 +340,7 @@ def remove_repeats(docs: DataFrame, p: Params = Params(), carry: bool = False) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = buffers(b.column("text"))
+            data, off = buffers(text_of(b))
             at = b.column("at")
             lens = at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             aoff = np.concatenate(([0], np.cumsum(lens)))
@@ -377,5 +377,5 @@ def remove_repeats(docs: DataFrame, p: Params = Params(), carry: bool = False) -
     if not carry:
         return texts(docs).join(spans.hint("merge"), ["doc_id", "tid"], "left").mapInArrow(lean(run), schema)
     row = F.struct(*docs.columns).alias("row")
-    x = texts(docs, row).join(spans.hint("merge"), ["doc_id", "tid"], "left")
+    x = docs.select("doc_id", F.xxhash64("text").alias("tid"), row).join(spans.hint("merge"), ["doc_id", "tid"], "left")
     return x.mapInArrow(lean(both), T.StructType.fromDDL(schema).add("row", x.schema["row"].dataType))
