@@ -146,7 +146,7 @@ def story_stats(spark, sf):
     ev = events(spark, sf)
     beats = ev.filter("text <> 'error'").withColumn("importance", F.least("value", F.lit(5.0)))
     pairs = ev.filter("text = 'purchase'").withColumn("payoff_s", F.when(F.col("value") > 20, F.col("t")))
-    s = A.story_stats(beats, ev.filter("text = 'error'"), pairs)
+    s = A.story_stats(beats, ev.filter("text = 'error'"), pairs, order=["event_id"])
     return s.select("source_id", *[big(c).alias(c) for c in ("beats", "twists", "pairs", "paid_off")], floor6(F.col("mean_importance")).alias("importance_e6"))
 
 

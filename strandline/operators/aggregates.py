@@ -46,8 +46,15 @@ def cut_rate(cuts: DataFrame, sources: DataFrame, by: Sequence[str] = BY) -> Dat
     return x.withColumn("cuts_per_min", F.coalesce(F.try_divide(F.col("raw_cuts"), F.col("duration") / 60.0), F.lit(0.0)))
 
 
-def story_stats(beats: DataFrame, twists: DataFrame, pairs: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    b = beats.groupBy(*by).agg(F.count(F.lit(1)).alias("beats"), F.avg("importance").alias("mean_importance"))
+def mean_in_order(c: str, order: Sequence[str]) -> Column:
+    """Mean of what is not NULL, added up in the order given: a plain sum of doubles hangs on how the rows are dealt to tasks."""
+    rows = F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).cast("double").alias("_x")))))
+    return F.try_divide(F.aggregate(rows, F.lit(0.0), lambda a, r: a + r["_x"]), F.count(c))
+
+
+def story_stats(beats: DataFrame, twists: DataFrame, pairs: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ("i",)) -> DataFrame:
+    """Counts, and the mean importance, which is the same for every layout of the rows."""
+    b = beats.groupBy(*by).agg(F.count(F.lit(1)).alias("beats"), mean_in_order("importance", order).alias("mean_importance"))
     t = twists.groupBy(*by).agg(F.count(F.lit(1)).alias("twists"))
     p = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.count("payoff_s").alias("paid_off"))
     return b.join(t, list(by), "left").join(p, list(by), "left").fillna(0, ["twists", "pairs", "paid_off"])

@@ -196,3 +196,25 @@ def test_range_joins_against_loops(spark):
     for closed in (False, True):
         want = sorted((s, t, k) for s, t in points for s2, k, x, y in spans if s == s2 and x <= t and (t < y or (closed and t == y)))
         assert sorted((r["source_id"], r["t"], r["i"]) for r in within(p, a, "t", "start", "end", closed=closed).collect()) == want
+
+
+def test_story_stats_do_not_hang_on_the_order_of_rows(spark, tmp_path):
+    import duckdb
+
+    from strandline.catalog import ORACLES, QUERIES
+
+    # 64 values with a mean of 3.7109375: in the table's order their sum of doubles is just below the tie, reversed it is not
+    cents = np.random.default_rng(0).permutation([491, 206, 479, 351, 269, 238, 456, 391, 493, 359, 423, 457, 382, 470, 365, 200, 263, 426, 430, 379, 356, 476, 404, 373, 492, 452, 257, 393, 395, 304, 485, 201, 342, 461, 301, 436, 464, 409, 356, 287, 430, 471, 301, 384, 469, 201, 399, 496, 418, 407, 372, 499, 234, 452, 326, 348, 210, 408, 279, 403, 338, 291, 237, 205])
+    rows = [(0, int(k), int(c) / 100) for k, c in enumerate(cents)] + [(1, k, 1.0) for k in range(64, 68)] + [(1, 68, None)]
+    con, got = duckdb.connect(), []
+    con.execute("SET threads = 1")
+    for k, order in enumerate((rows, rows[::-1], sorted(rows, key=lambda r: (r[2] is None, r[2])))):
+        sf = tmp_path / str(k)
+        sf.mkdir()
+        con.execute("CREATE OR REPLACE TABLE events (user_id BIGINT, event_id BIGINT, ts TIMESTAMP, event_type VARCHAR, value DOUBLE)")
+        con.executemany("INSERT INTO events VALUES (?, ?, TIMESTAMP '2024-01-02', 'view', ?)", order)
+        con.execute(f"COPY events TO '{sf}/events.parquet' (FORMAT parquet)")
+        if k == 0:
+            want = sorted(con.execute(ORACLES["story_stats"]).fetchall())
+        got.append(sorted(tuple(r) for r in QUERIES["story_stats"](spark, str(sf)).collect()))
+    assert got == [want] * 3
