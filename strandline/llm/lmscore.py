@@ -7,17 +7,17 @@ often it occurs. Each part is a proper distribution, so the score is a log proba
 into overlapping windows of 32 ids; each window scores its last 16 ids, so every id is scored once with 16 to 32
 ids of context, and windows go through masked attention in batches.
 
-What is learned: counts of words and ids over all training texts (distributed sums); classes and first weights on the
-driver from a bounded sample of whole training texts; and the weights anew from ``refine_percent`` of all training texts,
-which grows with the corpus: each shard of about ``shard_words`` words goes on from the first weights in a task of its own,
-and the mean of all shards is the model. Samples, shards and their order go by a hash of doc_id and text, so scores do
-not hang on how the rows are laid out.
+What is learned comes from all training texts: counts of words, of ids and of their neighbours, which make the classes
+(distributed sums), and the weights. For these each shard of about ``shard_words`` words goes in a task of its own through
+every window of its texts, and the mean of all shards is the model. Only where the shards start from is trained on the
+driver, on a bounded sample of whole training texts. Shards, samples and their order go by a hash of doc_id and text, so
+scores do not hang on how the rows are laid out.
 
 The base score needs the count of every word. The most frequent words, at most ``top_words``, go to every task; what
 a text holds beyond them is summed up by a join with the full counts.
 
 Defined results: a NULL text is empty and scores its end only; a NULL doc_id is scored and not learned from;
-repeated rows are scored one by one, count each in the word counts, and stand once in samples; without training texts all ids are equally likely; extra columns are ignored.
+repeated rows are scored one by one, count each in all counts, and train the weights once; without training texts all ids are equally likely; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,16 +44,17 @@ _DOWN[0x41:0x5B] = np.arange(0x61, 0x7B)
 @dataclass(frozen=True)
 class Params:
     """``tokenizer``: file of base64 pieces and ranks; ``folds``/``held``: crc32(doc_id) mod folds = held is not learned
-    from; ``top_words`` that are broadcast; ``sample_words`` of the first sample, about; ``refine_percent`` of all training
-    texts go on, in shards of ``shard_words``; model sizes; ``steps`` of the first training."""
+    from; ``top_words`` that are broadcast; ``sample_words`` of the sample that the start is trained on, about, with its ``steps``
+    of ``batch`` windows; ``refine_percent`` of all training texts train the weights, in shards of ``shard_words`` and steps of
+    ``refine_batch`` windows; model sizes."""
 
     tokenizer: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
     folds: int = 7
     held: int = 2
     top_words: int = 1_000_000
     sample_words: int = 600_000
-    refine_percent: float = 1.0
-    shard_words: int = 300_000
+    refine_percent: float = 100.0
+    shard_words: int = 2_400_000
     rows: int = 8192
     dim: int = 16
     classes: int = 64
@@ -62,6 +63,7 @@ class Params:
     steps: int = 3000
     batch: int = 128
     rate: float = 0.01
+    refine_batch: int = 1024
     refine_rate: float = 0.002
     seed: int = 5
 
@@ -175,9 +177,9 @@ def distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u, first, inv
 
 
-def sequences_of(w: Words, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, tuple]:
+def sequences_of(w: Words, tokens: Tokens, words: tuple | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
     """(ids with an end after each text, number of ids of each text, (distinct hashes, word -> distinct, word -> index))."""
-    u, first, inv = distinct(w)
+    u, first, inv = words or distinct(w)
     at = tokens.lookup(u, first, w)[inv] if len(u) else np.zeros(0, np.int64)
     flat, size = tokens.ids_of(at)
     total = np.concatenate(([0], np.cumsum(size)))
@@ -187,6 +189,16 @@ def sequences_of(w: Words, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, tupl
     return out, per, (u, inv, at)
 
 
+NEAR = 512  # columns of neighbours: 256 for what stands before an id, 256 for what stands after it
+
+
+def neighbours(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, column) of each id's neighbours in texts that lie one after the other, each with its end; an end stands before
+    each text as well, and so before the first."""
+    before = np.concatenate((np.full(1, end, ids.dtype), ids[:-1]))
+    return np.concatenate((ids, before)), np.concatenate((before & 255, 256 + (ids & 255)))
+
+
 # ---------------------------------------------------------------- the model
 
 
@@ -220,15 +232,6 @@ def windows(per: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return start, np.minimum(block, per[text] - k * block), k * block
 
 
-def context(ids: np.ndarray, start: np.ndarray, before: np.ndarray, block: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs of each window: the 2 * block ids before its targets, the end standing for a text's beginning; and
-    which of them are there. The first id of a text is predicted from the one ``end`` before it."""
-    at = start[:, None] + np.arange(-block - 1, block - 1)
-    offset = before[:, None] + np.arange(-block - 1, block - 1)
-    got = ids[np.clip(at, 0, len(ids) - 1)]
-    return np.where(offset < 0, end, got), offset >= -1
-
-
 def log_pick(h: np.ndarray, o: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Log of the softmax of ``h @ o`` at ``y``, row by row."""
     for shifted in (False, True):  # logits are seldom so large that exp needs the usual shift by their maximum
@@ -316,22 +319,21 @@ class Layout:
     end: int
 
 
-def layout_of(ids: np.ndarray, id_counts: np.ndarray, end: int, p: Params) -> Layout:
-    """Classes from neighbours in the sample, shares within classes from all counts."""
-    rng = np.random.default_rng(p.seed)
-    vocab = end + 1
+def rows_of(id_counts: np.ndarray, p: Params) -> np.ndarray:
+    """The embedding's row of each id: frequent ids have one of their own, the others share an eighth."""
     order = np.argsort(-id_counts, kind="stable")
     rare = max(1, p.rows // 8)
-    row = np.empty(vocab, np.int32)
-    row[order] = np.minimum(np.arange(vocab), p.rows)
+    row = np.empty(len(id_counts), np.int32)
+    row[order] = np.minimum(np.arange(len(row)), p.rows)
     lows = row >= p.rows - rare
-    row[lows] = p.rows - rare + np.arange(vocab)[lows] % rare
-    r = row[ids] if len(ids) else np.zeros(0, np.int32)
-    # what stands before and after each row, hashed to 256 columns each, gives its class
-    near = np.zeros((p.rows, 512), np.float32)
-    if len(r) > 1:
-        np.add.at(near, (r[1:], np.minimum(r[:-1], 255)), 1)
-        np.add.at(near, (r[:-1], 256 + np.minimum(r[1:], 255)), 1)
+    row[lows] = p.rows - rare + np.arange(len(row))[lows] % rare
+    return row
+
+
+def layout_of(row: np.ndarray, near: np.ndarray, id_counts: np.ndarray, end: int, p: Params) -> Layout:
+    """Classes from ``near``, the counts of neighbours by row and column; shares within classes from the counts of ids."""
+    rng = np.random.default_rng(p.seed)
+    near = near.reshape(p.rows, NEAR).astype(np.float32)
     mass = near.sum(axis=1)
     prof = np.sqrt(near / np.maximum(mass, 1)[:, None])
     basis, _ = np.linalg.qr((prof * np.sqrt(mass)[:, None]).T @ ((prof * np.sqrt(mass)[:, None]) @ rng.standard_normal((512, 32)).astype(np.float32)))
@@ -377,70 +379,128 @@ def shut(w: dict[str, np.ndarray], m: Layout) -> dict[str, np.ndarray]:
     return w
 
 
-def train(w: dict[str, np.ndarray], m: Layout, ids: np.ndarray, per: np.ndarray, p: Params, steps: int, rate: float) -> dict[str, np.ndarray]:
-    """The weights after gradient steps on windows drawn at random."""
+SOME = 1024  # windows at a time in training
+
+
+def softmax(logits) -> np.ndarray:
+    """Softmax of what ``logits`` gives, over the last axis; large values are seldom, and only then shifted by their maximum."""
+    for shifted in (False, True):
+        z = logits()
+        if shifted:
+            z -= z.max(axis=-1, keepdims=True)
+        total = np.exp(z, out=z) @ np.ones(z.shape[-1], np.float32)
+        if total.min() > 1e-30 and total.max() < 1e37:
+            break
+    z *= (1 / total)[..., None]
+    return z
+
+
+def gradients(w: dict[str, np.ndarray], m: Layout, seen: tuple, start: np.ndarray, count: np.ndarray, before: np.ndarray, g: dict[str, np.ndarray]) -> int:
+    """Add to ``g`` the gradients of the summed loss over these windows; how many ids they predict.
+
+    ``seen``: row, class and leaf of each id of the texts.
+    """
+    n, d = len(w["near"]) // 2, w["e"].shape[1]
+    rows, groups, leaves = seen
+    inputs, targets = np.arange(-n - 1, n - 1), np.arange(n)
+    dist = targets[:, None] + n - np.arange(2 * n)[None, :]
+    far = np.clip(dist, 0, 2 * n - 1)
+    bias = np.where(dist >= 0, w["near"][far], np.float32(-1e9)).astype(np.float32)
+    first_row, scale, b = m.row[m.end], np.float32(d**-0.5), len(start)
+    r = rows.take(start[:, None] + inputs, mode="clip")
+    head = np.flatnonzero(before == 0)  # a text's first window: nothing stands before its beginning
+    r[head, : n + 1] = first_row
+    r[before == n, 0] = first_row
+    # attention
+    ex = w["e"].take(r, axis=0)
+    fx, eq = ex.reshape(-1, d), np.ascontiguousarray(ex[:, n:])
+    q, k, v = ((eq.reshape(-1, d) @ w["q"]) * scale).reshape(b, n, d), (fx @ w["k"]).reshape(b, 2 * n, d), (fx @ w["v"]).reshape(b, 2 * n, d)
+
+    def looks() -> np.ndarray:
+        x = np.matmul(q, k.transpose(0, 2, 1))
+        x += bias
+        x[head, :, :n] = -1e9
+        return x
+
+    att = softmax(looks)
+    mixed = np.matmul(att, v)
+    h = np.ones((b * n, d + 1), np.float32)  # with a constant that biases go with
+    np.add(mixed.reshape(-1, d), eq.reshape(-1, d), out=h[:, :d])
+    # softmax over classes, then over the leaves of each class, row by row in the order of classes
+    live = np.flatnonzero((targets < count[:, None]).ravel())
+    at = (start[:, None] + targets).ravel()[live]
+    y = groups[at]
+    order = np.argsort(y, kind="stable")
+    at, y, live = at[order], y[order], live[order]
+    y2, hs, here = leaves[at], h[live], np.arange(len(live))
+    o1, o2 = np.concatenate((w["o"], w["b"][None, :])), np.concatenate((w["o2"], w["b2"][:, None, :]), axis=1)
+    z = softmax(lambda: hs @ o1)
+    z[here, y] -= 1
+    got = hs.T @ z
+    g["o"] += got[:d]
+    g["b"] += got[d]
+    dhs = z @ w["o"].T
+    edge = np.searchsorted(y, np.arange(len(w["b"]) + 1))
+    for c in np.flatnonzero(np.diff(edge)).tolist():
+        x = hs[edge[c] : edge[c + 1]]
+        z = softmax(lambda x=x, c=c: x @ o2[c])
+        z[here[: len(z)], y2[edge[c] : edge[c + 1]]] -= 1
+        got = x.T @ z
+        g["o2"][c] += got[:d]
+        g["b2"][c] += got[d]
+        dhs[edge[c] : edge[c + 1]] += z @ w["o2"][c].T
+    dh = np.zeros((b * n, d), np.float32)
+    dh[live] = dhs
+    dh = dh.reshape(b, n, d)
+    # and back through the attention
+    ds = np.matmul(dh, v.transpose(0, 2, 1))
+    ds -= ((dh * mixed) @ np.ones(d, np.float32))[:, :, None]
+    ds *= att
+    g["near"] += np.bincount(far.ravel(), np.where(dist >= 0, ds.sum(axis=0), 0).ravel(), 2 * n).astype(np.float32)
+    dq, dk, dv = np.matmul(ds, k).reshape(-1, d) * scale, np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, d), np.matmul(att.transpose(0, 2, 1), dh).reshape(-1, d)
+    g["q"] += eq.reshape(-1, d).T @ dq
+    g["k"] += fx.T @ dk
+    g["v"] += fx.T @ dv
+    dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(b, 2 * n, d)
+    dx[:, n:] += dh + (dq @ w["q"].T).reshape(b, n, d)
+    # sums by row of the embedding
+    r = r.ravel()
+    order = np.argsort(r, kind="stable")
+    r = r[order]
+    cut = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+    g["e"][r[cut]] += np.add.reduceat(dx.reshape(-1, d)[order], cut, axis=0)
+    return len(live)
+
+
+def train(w: dict[str, np.ndarray], m: Layout, ids: np.ndarray, per: np.ndarray, p: Params, steps: int, rate: float, batch: int) -> dict[str, np.ndarray]:
+    """The weights after gradient steps, each on the next ``batch`` windows of a shuffled order, which begins anew when all
+    windows have had their turn."""
     w, rng = {k: x.copy() for k, x in w.items()}, np.random.default_rng(p.seed)
-    d, n, end = p.dim, p.block, m.end
-    row, group, leaf = m.row, m.group, m.leaf
-    start, count, before = windows(per, n)
-    if len(start):
-        g1, g2 = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
-        dist = np.arange(n)[:, None] + n - np.arange(2 * n)[None, :]
-        far = np.clip(dist, 0, 2 * n - 1)
-        scale = np.float32(d**-0.5)
-        for step in range(1, steps + 1):
-            s = rng.integers(0, len(start), p.batch)
-            x, there = context(ids, start[s], before[s], n, end)
-            live = (np.arange(n) < count[s][:, None]).astype(np.float32)
-            target = ids[np.clip(start[s][:, None] + np.arange(n), 0, len(ids) - 1)]
-            y, y2 = group[target], leaf[target]
-            rr = row[x]
-            ex = w["e"][rr]
-            eq = ex[:, n:]
-            q, k, v = eq @ w["q"], ex @ w["k"], ex @ w["v"]
-            att = np.matmul(q, k.transpose(0, 2, 1)) * scale + w["near"][far]
-            att = np.where((dist >= 0) & there[:, None, :], att, np.float32(-1e9))
-            att = np.exp(att - att.max(axis=2, keepdims=True))
-            att /= att.sum(axis=2, keepdims=True)
-            h = np.matmul(att, v) + eq
-            z = h @ w["o"] + w["b"]
-            z = np.exp(z - z.max(axis=2, keepdims=True))
-            z /= z.sum(axis=2, keepdims=True)
-            z[np.arange(p.batch)[:, None], np.arange(n), y] -= 1
-            share = (live / max(1.0, live.sum()))[:, :, None]
-            z *= share
-            hf, yf = h.reshape(-1, d), y.ravel()
-            g = {"o": hf.T @ z.reshape(-1, p.classes), "b": z.sum(axis=(0, 1)), "o2": np.zeros_like(w["o2"]), "b2": np.zeros_like(w["b2"])}
-            dh = (z @ w["o"].T).reshape(-1, d)
-            by_class = np.argsort(yf, kind="stable")
-            edge = np.searchsorted(yf[by_class], np.arange(p.classes + 1))
-            for c in np.flatnonzero(np.diff(edge)).tolist():
-                at = by_class[edge[c] : edge[c + 1]]
-                z2 = hf[at] @ w["o2"][c] + w["b2"][c]
-                z2 = np.exp(z2 - z2.max(axis=1, keepdims=True))
-                z2 /= z2.sum(axis=1, keepdims=True)
-                z2[np.arange(len(at)), y2.ravel()[at]] -= 1
-                z2 *= share.ravel()[at, None]
-                g["o2"][c], g["b2"][c] = hf[at].T @ z2, z2.sum(axis=0)
-                dh[at] += z2 @ w["o2"][c].T
-            dh = dh.reshape(h.shape)
-            da = np.matmul(dh, v.transpose(0, 2, 1))
-            dv = np.matmul(att.transpose(0, 2, 1), dh)
-            ds = att * (da - (da * att).sum(axis=2, keepdims=True))
-            g["near"] = np.bincount(far.ravel(), np.where(dist >= 0, ds.sum(axis=0), 0).ravel(), 2 * n).astype(np.float32)
-            dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale
-            flat = lambda t: t.reshape(-1, d)
-            g["q"], g["k"], g["v"] = flat(eq).T @ flat(dq), flat(ex).T @ flat(dk), flat(ex).T @ flat(dv)
-            dx = dk @ w["k"].T + dv @ w["v"].T
-            dx[:, n:] += dh + dq @ w["q"].T
-            g["e"] = np.zeros_like(w["e"])
-            np.add.at(g["e"], rr.ravel(), dx.reshape(-1, d))
-            lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-            for name, gr in g.items():
-                g1[name] += 0.1 * (gr - g1[name])
-                g2[name] += 0.01 * (gr * gr - g2[name])
-                w[name] -= (lr * (g1[name] / (1 - 0.9**step)) / (np.sqrt(g2[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            shut(w, m)
+    start, count, before = windows(per, p.block)
+    if not len(start):
+        return w
+    small = lambda x, most: x.astype(np.int16 if most < 1 << 15 else np.int32)
+    seen = small(m.row, p.rows).take(ids), small(m.group, p.classes).take(ids), small(m.leaf, p.leaves).take(ids)
+    g1, g2 = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    order, at = rng.permutation(len(start)), 0
+    for step in range(1, steps + 1):
+        if at >= len(order):
+            order, at = rng.permutation(len(start)), 0
+        drawn = order[at : at + batch]
+        at += batch
+        g = {k: np.zeros_like(v) for k, v in w.items()}
+        n = 0
+        for x in range(0, len(drawn), SOME):
+            s = drawn[x : x + SOME]
+            with np.errstate(over="ignore"):
+                n += gradients(w, m, seen, start[s], count[s], before[s], g)
+        lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
+        for name, gr in g.items():
+            gr /= n
+            g1[name] += 0.1 * (gr - g1[name])
+            g2[name] += 0.01 * (gr * gr - g2[name])
+            w[name] -= (lr * (g1[name] / (1 - 0.9**step)) / (np.sqrt(g2[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        shut(w, m)
     return w
 
 
@@ -449,9 +509,10 @@ def model_of(w: dict[str, np.ndarray], m: Layout, p: Params) -> Model:
 
 
 def fit(ids: np.ndarray, per: np.ndarray, id_counts: np.ndarray, end: int, p: Params) -> Model:
-    """A model from one sample."""
-    m = layout_of(ids, id_counts, end, p)
-    return model_of(train(first_weights(m, p), m, ids, per, p, p.steps, p.rate), m, p)
+    """A model from these texts alone."""
+    row, (who, column) = rows_of(id_counts, p), neighbours(ids, end)
+    m = layout_of(row, np.bincount(row[who].astype(np.int64) * NEAR + column, minlength=p.rows * NEAR), id_counts, end, p)
+    return model_of(train(first_weights(m, p), m, ids, per, p, p.steps, p.rate, p.batch), m, p)
 
 
 def packed(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -474,11 +535,13 @@ def fold(p: Params):
 
 
 def counts_of(learn: DataFrame, ranks, store: Store) -> DataFrame:
-    """kind 0: (hash of a word, its count); kind 1: (id, count); kind 2: (0, number of texts), over all training texts."""
+    """kind 0: (hash of a word, its count); kind 1: (id, count); kind 2: (0, number of texts); kind 3: (id * NEAR + column,
+    count) of neighbours, over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tokens(ranks.value)
         ids, rows, seen = np.zeros(t.end + 1, np.int64), 0, np.zeros(t.most, np.int64)
+        slot, held, near = np.full(t.end + 1, -1, np.int64), 0, np.zeros(1 << 20, np.int64)  # neighbours of ids met so far
         one = lambda kind, key, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], names=["kind", "key", "n"])
         for b in batches:
             data, offsets = buffers(b.column("text"))
@@ -490,14 +553,21 @@ def counts_of(learn: DataFrame, ranks, store: Store) -> DataFrame:
                     yield one(0, signed(t.hash[: t.n]), seen[: t.n])
                     t.clear()
                     seen = np.zeros(max(t.most, len(u)), np.int64)
-                if len(u):
-                    n, at = np.bincount(inv, minlength=len(u)), t.lookup(u, first, w)
-                    flat, size = t.ids_of(at)
-                    ids += np.bincount(flat, np.repeat(n, size), len(ids)).astype(np.int64)
-                    seen[at] += n
+                flat, _, (_, _, at) = sequences_of(w, t, (u, first, inv))
+                n = np.bincount(flat, minlength=len(ids))
+                ids += n
+                seen += np.bincount(at, minlength=len(seen))
+                new = np.flatnonzero((n > 0) & (slot < 0))
+                slot[new] = held + np.arange(len(new))
+                held += len(new)
+                near = grown(near, held * NEAR)
+                for who, column in zip(*map(lambda x: np.split(x, 2), neighbours(flat, t.end)), strict=True):
+                    np.add.at(near, slot[who] * NEAR + column, 1)
         yield one(0, signed(t.hash[: t.n]), seen[: t.n])
-        some = np.flatnonzero(ids)
+        some = np.flatnonzero(ids[: t.end])  # ends are the texts, kind 2
         yield one(1, some, ids[some])
+        some = np.flatnonzero(near)
+        yield one(3, np.argsort(slot, kind="stable")[len(slot) - held :][some // NEAR] * NEAR + some % NEAR, near[some])
         yield one(2, np.zeros(1, np.int64), np.array([rows]))
 
     found = learn.select("text").mapInArrow(lean(run), "kind int, key long, n long")
@@ -512,10 +582,26 @@ def share_of(total: int, words: float) -> float:
     return min(1.0, words / max(1, total))
 
 
+def dealt(learn: DataFrame, share: float, salt: int) -> DataFrame:
+    """(h, text): about this share of the training texts, all of them at 1."""
+    h = F.xxhash64("doc_id", "text", F.lit(salt))
+    return learn.select(h.alias("h"), "text").filter(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)) + 1)
+
+
 def sampled(learn: DataFrame, share: float, salt: int) -> DataFrame:
     """(h, text): about this share of the training texts, each text of a doc_id once."""
-    h = F.xxhash64("doc_id", "text", F.lit(salt))
-    return learn.select(h.alias("h"), "text").filter(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)) + 1).dropDuplicates(["h"])
+    return dealt(learn, share, salt).dropDuplicates(["h"])
+
+
+def near_of(counted: DataFrame, row: np.ndarray, p: Params) -> np.ndarray:
+    """Counts of neighbours by row and column; ids become rows in tasks, so that the driver gets one number a place at most."""
+    spark = counted.sparkSession
+    rows = spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(row)), pa.int64()), "row": pa.array(row, pa.int64())}))
+    x = counted.filter("kind = 3").select(F.floor(F.col("key") / NEAR).alias("id"), F.pmod("key", F.lit(NEAR)).alias("column"), "n")
+    x = x.join(F.broadcast(rows), "id").groupBy((F.col("row") * NEAR + F.col("column")).cast("int").alias("place")).agg(F.sum("n").alias("n")).toArrow()
+    near = np.zeros(p.rows * NEAR, np.int64)
+    near[x.column("place").to_numpy()] = x.column("n").to_numpy()
+    return near
 
 
 def cut_texts(table: pa.Table, ranks) -> tuple[np.ndarray, np.ndarray]:
@@ -535,10 +621,11 @@ def refined(learn: DataFrame, total: int, w: dict[str, np.ndarray], m: Layout, r
 
     Sums of shards are formed in tasks, 64 at a time, until at most 64 are left for the driver.
     """
-    share = p.refine_percent / 100
+    share = min(1.0, p.refine_percent / 100)
     shards = max(1, round(total * share / p.shard_words))
     start = learn.sparkSession.sparkContext.broadcast((w, m))
-    rows = sampled(learn, share, p.seed + 1).withColumn("g", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    rows = dealt(learn, share, p.seed + 1).withColumn("g", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    rows = rows.repartition("g").dropDuplicates(["g", "h"])  # texts are shuffled once, for this and for the groups
     schema = "g long, n double, x binary"
 
     def row(g: int, n: float, x: np.ndarray) -> pa.Table:
@@ -548,7 +635,7 @@ def refined(learn: DataFrame, total: int, w: dict[str, np.ndarray], m: Layout, r
         w0, layout = start.value
         ids, per = cut_texts(table, ranks)
         n = int((-(-per // p.block)).sum())
-        x = packed(train(w0, layout, ids, per, p, -(-n // p.batch), p.refine_rate))
+        x = packed(train(w0, layout, ids, per, p, -(-n // p.refine_batch), p.refine_rate, p.refine_batch))
         return row(key[0].as_py(), float(n), n * x)
 
     def add(key, table):
@@ -601,8 +688,9 @@ def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
     id_counts[id_rows.column("key").to_numpy()] = id_rows.column("n").to_numpy()
     id_counts[end] = n_docs
     ids, per = cut_texts(sampled(learn, share_of(total, p.sample_words), p.seed).toArrow(), ranks)
-    layout = layout_of(ids, id_counts, end, p)
-    weights = train(first_weights(layout, p), layout, ids, per, p, p.steps, p.rate)
+    row = rows_of(id_counts, p)
+    layout = layout_of(row, near_of(counted, row, p), id_counts, end, p)
+    weights = train(first_weights(layout, p), layout, ids, per, p, p.steps, p.rate, p.batch)
     weights = refined(learn, total, weights, layout, ranks, p, store)
     shared = spark.sparkContext.broadcast((model_of(weights, layout, p), top_hash, np.log10((top_n + 1) / under)))
     end_score, end_known = float(np.log10((n_docs + 1) / under)), int(n_docs > 0)

@@ -529,3 +529,58 @@ def test_pipeline(spark):
         assert r["copies"] >= 1 and r["text"] == texts[r["doc_id"]]
         assert not any(b in " ".join(re.findall(r"\w+", r["text"].lower())) for b in bench)
     assert len(got) > 0.2 * len(kept)
+
+
+def test_lm_learns_from_all_training_texts(spark, docs, monkeypatch):
+    """Classes come from the neighbours in all training texts, and the weights from every window of them, once each."""
+    from pyspark.sql import functions as F
+
+    from strandline.llm._store import Store
+    from strandline.llm._text import Words
+
+    p = lmscore.Params()
+    few = docs.filter("length(text) < 3000").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    assert lmscore.dealt(few, p.refine_percent / 100, 1).count() == few.count()
+    ranks = lmscore.load_ranks(p.tokenizer)
+    tokens, end = lmscore.Tokens(ranks), max(ranks.values()) + 1
+    want, counts, per = np.zeros((p.rows, lmscore.NEAR), np.int64), np.zeros(end + 1, np.int64), []
+    ids = []
+    for r in few.collect():
+        b = np.frombuffer(r["text"].encode(), np.uint8)
+        ids.append(lmscore.sequences_of(Words(b, np.array([0, len(b)]), 0, 1), tokens)[0])
+        counts += np.bincount(ids[-1], minlength=end + 1)
+    row = lmscore.rows_of(counts, p)
+    for x in ids:
+        for a, b in zip([end, *x[:-1].tolist()], x.tolist(), strict=True):
+            want[row[b], a % 256] += 1
+            want[row[a], 256 + b % 256] += 1
+    for n in (1, 3):
+        counted = lmscore.counts_of(few.repartition(n, "doc_id"), spark.sparkContext.broadcast(ranks), Store(spark))
+        assert (lmscore.near_of(counted, row, p) == want.ravel()).all()
+    seen = []
+    monkeypatch.setattr(lmscore, "gradients", lambda w, m, ids, start, *rest: seen.extend(start.tolist()) or len(start))
+    per = np.array([len(x) for x in ids])
+    m = lmscore.layout_of(row, want.ravel(), counts, end, p)
+    n = int((-(-per // p.block)).sum())
+    lmscore.train(lmscore.first_weights(m, p), m, np.concatenate(ids), per, p, -(-n // p.refine_batch), p.refine_rate, p.refine_batch)
+    assert sorted(seen) == sorted(lmscore.windows(per, p.block)[0].tolist())
+
+
+def test_lm_gradients():
+    """Against differences of the loss that the scorer gives."""
+    rng = np.random.default_rng(1)
+    p, end = lmscore.Params(rows=128, classes=8, leaves=8), 200
+    per = np.array([1, 5, 16, 17, 40, 33, 100])
+    ids = rng.integers(0, end, per.sum()).astype(np.int32)
+    ids[np.cumsum(per) - 1] = end
+    counts = np.bincount(ids, minlength=end + 1)
+    row, (who, column) = lmscore.rows_of(counts, p), lmscore.neighbours(ids, end)
+    m = lmscore.layout_of(row, np.bincount(row[who] * lmscore.NEAR + column, minlength=p.rows * lmscore.NEAR), counts, end, p)
+    w = lmscore.train(lmscore.first_weights(m, p), m, ids, per, p, 30, 0.01, 16)
+    w = {k: x.astype(float) for k, x in w.items()}
+    g = {k: np.zeros_like(x) for k, x in w.items()}
+    assert lmscore.gradients(w, m, (m.row[ids], m.group[ids], m.leaf[ids]), *lmscore.windows(per, p.block), g) == len(ids)
+    for k in w:
+        by = rng.standard_normal(w[k].shape) * (np.abs(w[k]) < 1e8)
+        lose = lambda s, k=k, by=by: (lmscore.score_ids(ids, per, lmscore.model_of(w | {k: w[k] + s * by}, m, p)) * np.log(10)).sum()
+        assert (lose(-1e-3) - lose(1e-3)) / 2e-3 == pytest.approx((g[k] * by).sum(), rel=1e-2, abs=1e-2), k
