@@ -26,7 +26,6 @@ import base64
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -124,7 +123,8 @@ class Tokens:
     def __init__(self, ranks: dict[bytes, int], price=None, most: int = 600_000):
         import tiktoken
 
-        self.encode = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode = tiktoken.Encoding("words", pat_str=r"[^\n]+|\n", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.line = ranks[b"\n"]
         self.end = max(ranks.values()) + 1
         self.most, self.price = most, price
         self.clear()
@@ -143,10 +143,7 @@ class Tokens:
         out = self.table.find(hashes)
         new = np.flatnonzero(out < 0)
         if len(new):
-            low, place = _DOWN[w.data].tobytes(), first[new]
-            ids = [self.encode(" " + low[x:y].decode("utf-8", "replace")) for x, y in zip(w.start[place].tolist(), w.end[place].tolist(), strict=True)]
-            size = np.array([len(x) for x in ids], np.int32)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+            flat, size = self.cut(w, first[new])
             a, z = self.n, self.n + len(new)
             self.start, self.size, self.hash, self.has, self.log = (grown(x, z) for x in (self.start, self.size, self.hash, self.has, self.log))
             self.flat = grown(self.flat, self.used + len(flat))
@@ -162,6 +159,19 @@ class Tokens:
             self.n = z
         return out
 
+    def cut(self, w: Words, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these words one after the other, number of ids of each). They are cut in one call, a line each: no word
+        holds the end of a line, so its id stands between words only."""
+        start, n = w.start[place], w.end[place] - w.start[place]
+        each = np.arange(int(n.sum()))
+        lines = np.full(len(each) + 2 * len(n), 0x0A, np.uint8)
+        lines[np.cumsum(n + 2) - n - 2] = 0x20
+        lines[each + np.repeat(2 * np.arange(len(n)) + 1, n)] = _DOWN[w.data[each + np.repeat(start - np.cumsum(n) + n, n)]]
+        ids = self.encode(lines.tobytes().decode("utf-8", "replace"))
+        ids = np.fromiter(ids, np.int32, len(ids))
+        ends = np.flatnonzero(ids == self.line)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1).astype(np.int32) - 1
+
     def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of these words one after the other, number of ids of each)."""
         size = self.size[at].astype(np.int64)
@@ -238,7 +248,7 @@ def log_pick(h: np.ndarray, o: np.ndarray, y: np.ndarray) -> np.ndarray:
         z = h @ o
         if shifted:
             z -= z.max(axis=1, keepdims=True)
-        picked = z[np.arange(len(z)), y].astype(np.float64)
+        picked = z.ravel().take(np.arange(0, z.size, z.shape[1]) + y).astype(np.float64)
         with np.errstate(over="ignore"):
             total = np.exp(z, out=z) @ np.ones(z.shape[1], np.float32)  # a product sums rows faster than sum does
         if total.size == 0 or (total.min() > 1e-30 and total.max() < 1e37):
@@ -379,42 +389,49 @@ def shut(w: dict[str, np.ndarray], m: Layout) -> dict[str, np.ndarray]:
     return w
 
 
-SOME = 1024  # windows at a time in training
+SOME, TALL = 1024, 2048  # windows, and rows of a softmax, at a time in training
 
 
-def softmax(logits) -> np.ndarray:
-    """Softmax of what ``logits`` gives, over the last axis; large values are seldom, and only then shifted by their maximum."""
+def exps(logits, sums) -> tuple[np.ndarray, np.ndarray]:
+    """(exp of what ``logits`` gives, what ``sums`` makes of it, with the sum of each row last); large values are seldom, and
+    only then shifted by the row's maximum."""
     for shifted in (False, True):
         z = logits()
         if shifted:
             z -= z.max(axis=-1, keepdims=True)
-        total = np.exp(z, out=z) @ np.ones(z.shape[-1], np.float32)
-        if total.min() > 1e-30 and total.max() < 1e37:
+        np.exp(z, out=z)
+        got = sums(z)
+        total = got[..., -1]
+        if total.size == 0 or (total.min() > 1e-30 and total.max() < 1e37):
             break
-    z *= (1 / total)[..., None]
-    return z
+    return z, got
 
 
 def gradients(w: dict[str, np.ndarray], m: Layout, seen: tuple, start: np.ndarray, count: np.ndarray, before: np.ndarray, g: dict[str, np.ndarray]) -> int:
     """Add to ``g`` the gradients of the summed loss over these windows; how many ids they predict.
 
-    ``seen``: row, class and leaf of each id of the texts.
+    ``seen``: row, class and leaf of each id of the texts. A softmax is not divided by its sums: what it is multiplied with
+    is, which has fewer columns.
     """
-    n, d = len(w["near"]) // 2, w["e"].shape[1]
+    n, d, kind = len(w["near"]) // 2, w["e"].shape[1], w["e"].dtype
     rows, groups, leaves = seen
     inputs, targets = np.arange(-n - 1, n - 1), np.arange(n)
     dist = targets[:, None] + n - np.arange(2 * n)[None, :]
     far = np.clip(dist, 0, 2 * n - 1)
-    bias = np.where(dist >= 0, w["near"][far], np.float32(-1e9)).astype(np.float32)
-    first_row, scale, b = m.row[m.end], np.float32(d**-0.5), len(start)
+    bias = np.where(dist >= 0, w["near"][far], np.float32(-1e9)).astype(kind)
+    first_row, b = m.row[m.end], len(start)
+    wq, wkv = w["q"] * kind.type(d**-0.5), np.concatenate((w["k"], w["v"]), axis=1)
+    wide = np.zeros((d + 1, 2 * d + 1), kind)  # from an embedding and a one to key, value and a one
+    wide[:d, : 2 * d], wide[d, 2 * d] = wkv, 1
     r = rows.take(start[:, None] + inputs, mode="clip")
     head = np.flatnonzero(before == 0)  # a text's first window: nothing stands before its beginning
     r[head, : n + 1] = first_row
     r[before == n, 0] = first_row
-    # attention
-    ex = w["e"].take(r, axis=0)
-    fx, eq = ex.reshape(-1, d), np.ascontiguousarray(ex[:, n:])
-    q, k, v = ((eq.reshape(-1, d) @ w["q"]) * scale).reshape(b, n, d), (fx @ w["k"]).reshape(b, 2 * n, d), (fx @ w["v"]).reshape(b, 2 * n, d)
+    # attention; a column of ones after the values sums up its weights
+    fx = np.concatenate((w["e"], np.ones((len(w["e"]), 1), kind)), axis=1).take(r.ravel(), axis=0)
+    eq = fx.reshape(b, 2 * n, d + 1)[:, n:].reshape(-1, d + 1)
+    q, kv = (eq[:, :d] @ wq).reshape(b, n, d), (fx @ wide).reshape(b, 2 * n, 2 * d + 1)
+    k, v = kv[:, :, :d], kv[:, :, d:]
 
     def looks() -> np.ndarray:
         x = np.matmul(q, k.transpose(0, 2, 1))
@@ -422,84 +439,124 @@ def gradients(w: dict[str, np.ndarray], m: Layout, seen: tuple, start: np.ndarra
         x[head, :, :n] = -1e9
         return x
 
-    att = softmax(looks)
-    mixed = np.matmul(att, v)
-    h = np.ones((b * n, d + 1), np.float32)  # with a constant that biases go with
-    np.add(mixed.reshape(-1, d), eq.reshape(-1, d), out=h[:, :d])
-    # softmax over classes, then over the leaves of each class, row by row in the order of classes
-    live = np.flatnonzero((targets < count[:, None]).ravel())
-    at = (start[:, None] + targets).ravel()[live]
+    att, mixed = exps(looks, lambda z: np.matmul(z, v))
+    part = 1 / mixed[:, :, d:]
+    mixed *= part
+    mixed[:, :, d] = 0
+    h = mixed.reshape(-1, d + 1) + eq  # its last column is the constant that biases go with
+    # softmax over classes, and over the leaves of each class, row by row in the order of classes
+    at, live = (start[:, None] + targets).ravel(), None
+    if int(count.min()) < n:
+        live = np.flatnonzero((targets < count[:, None]).ravel())
+        at = at[live]
     y = groups[at]
     order = np.argsort(y, kind="stable")
-    at, y, live = at[order], y[order], live[order]
-    y2, hs, here = leaves[at], h[live], np.arange(len(live))
+    at, y, live = at[order], y[order], order if live is None else live[order]
+    y2, hs, dhs = leaves[at].astype(np.int64), h.take(live, axis=0), np.empty((len(live), d), kind)
     o1, o2 = np.concatenate((w["o"], w["b"][None, :])), np.concatenate((w["o2"], w["b2"][:, None, :]), axis=1)
-    z = softmax(lambda: hs @ o1)
-    z[here, y] -= 1
-    got = hs.T @ z
-    g["o"] += got[:d]
-    g["b"] += got[d]
-    dhs = z @ w["o"].T
-    edge = np.searchsorted(y, np.arange(len(w["b"]) + 1))
-    for c in np.flatnonzero(np.diff(edge)).tolist():
-        x = hs[edge[c] : edge[c + 1]]
-        z = softmax(lambda x=x, c=c: x @ o2[c])
-        z[here[: len(z)], y2[edge[c] : edge[c + 1]]] -= 1
-        got = x.T @ z
-        g["o2"][c] += got[:d]
-        g["b2"][c] += got[d]
-        dhs[edge[c] : edge[c + 1]] += z @ w["o2"][c].T
-    dh = np.zeros((b * n, d), np.float32)
-    dh[live] = dhs
-    dh = dh.reshape(b, n, d)
+    back1, back2 = np.ascontiguousarray(w["o"].T), np.ascontiguousarray(w["o2"].transpose(0, 2, 1))
+    g1, g2 = np.zeros_like(o1), np.zeros_like(o2)
+    edge, most = np.searchsorted(y, np.arange(len(w["b"]) + 1)), max(o1.shape[1], o2.shape[2])
+    one, space = np.ones((most, 1), kind), np.empty((min(TALL, len(hs)), most), kind)
+    for x in range(0, len(hs), TALL):
+        z = min(x + TALL, len(hs))
+        here, xs = np.arange(z - x), hs[x:z]
+        some = [(c, max(edge[c], x) - x, min(edge[c + 1], z) - x) for c in range(int(y[x]), int(y[z - 1]) + 1) if edge[c] < edge[c + 1]]
+
+        def by_leaf(xs=xs, some=some) -> np.ndarray:
+            out = space[: len(xs), : o2.shape[2]]
+            for c, i, j in some:
+                np.matmul(xs[i:j], o2[c], out=out[i:j])
+            return out
+
+        s, total = exps(lambda xs=xs: xs @ o1, lambda z: z @ one[: z.shape[1]])
+        s.reshape(-1)[here * s.shape[1] + y[x:z]] -= total[:, 0]
+        total = 1 / total
+        g1 += (xs * total).T @ s
+        np.multiply(s @ back1, total, out=dhs[x:z])
+        s, total = exps(by_leaf, lambda z: z @ one[: z.shape[1]])
+        s[here, y2[x:z]] -= total[:, 0]
+        total = 1 / total
+        xs, dx = (xs * total).T, np.empty((z - x, d), kind)
+        for c, i, j in some:
+            g2[c] += xs[:, i:j] @ s[i:j]
+            np.matmul(s[i:j], back2[c], out=dx[i:j])
+        dx *= total
+        dhs[x:z] += dx
+    g["o"] += g1[:d]
+    g["b"] += g1[d]
+    g["o2"] += g2[:, :d]
+    g["b2"] += g2[:, d]
+    dh = np.zeros((b * n, d + 1), kind)
+    dh[live, :d] = dhs
+    dh = dh.reshape(b, n, d + 1)
     # and back through the attention
+    own = dh[:, :, :d].reshape(-1, d).copy()
+    dh *= part
+    dh[:, :, d] = -((dh * mixed).reshape(-1, d + 1) @ np.ones(d + 1, kind)).reshape(b, n)
     ds = np.matmul(dh, v.transpose(0, 2, 1))
-    ds -= ((dh * mixed) @ np.ones(d, np.float32))[:, :, None]
     ds *= att
     g["near"] += np.bincount(far.ravel(), np.where(dist >= 0, ds.sum(axis=0), 0).ravel(), 2 * n).astype(np.float32)
-    dq, dk, dv = np.matmul(ds, k).reshape(-1, d) * scale, np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, d), np.matmul(att.transpose(0, 2, 1), dh).reshape(-1, d)
-    g["q"] += eq.reshape(-1, d).T @ dq
-    g["k"] += fx.T @ dk
-    g["v"] += fx.T @ dv
-    dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(b, 2 * n, d)
-    dx[:, n:] += dh + (dq @ w["q"].T).reshape(b, n, d)
+    dq, dkv = np.matmul(ds, k).reshape(-1, d), np.empty((b, 2 * n, 2 * d), kind)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :d])
+    np.matmul(att.transpose(0, 2, 1), dh[:, :, :d], out=dkv[:, :, d:])
+    dkv = dkv.reshape(-1, 2 * d)
+    g["q"] += (eq[:, :d].T @ dq) * kind.type(d**-0.5)
+    got = fx[:, :d].T @ dkv
+    g["k"] += got[:, :d]
+    g["v"] += got[:, d:]
+    own += dq @ wq.T
+    dx = dkv @ wkv.T
+    dx.reshape(b, 2 * n, d)[:, n:] += own.reshape(b, n, d)
     # sums by row of the embedding
     r = r.ravel()
     order = np.argsort(r, kind="stable")
     r = r[order]
     cut = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    g["e"][r[cut]] += np.add.reduceat(dx.reshape(-1, d)[order], cut, axis=0)
+    g["e"][r[cut]] += np.add.reduceat(dx.take(order, axis=0), cut, axis=0)
     return len(live)
 
 
+def parts(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Views of ``x`` in the shapes of ``like``, one after the other in the order of names."""
+    at = np.cumsum([0] + [like[k].size for k in sorted(like)])
+    return {k: x[a:z].reshape(like[k].shape) for k, a, z in zip(sorted(like), at[:-1], at[1:], strict=True)}
+
+
 def train(w: dict[str, np.ndarray], m: Layout, ids: np.ndarray, per: np.ndarray, p: Params, steps: int, rate: float, batch: int) -> dict[str, np.ndarray]:
     """The weights after gradient steps, each on the next ``batch`` windows of a shuffled order, which begins anew when all
     windows have had their turn."""
-    w, rng = {k: x.copy() for k, x in w.items()}, np.random.default_rng(p.seed)
+    x, rng = packed(w).astype(np.float32), np.random.default_rng(p.seed)
+    w = parts(x, w)
     start, count, before = windows(per, p.block)
     if not len(start):
         return w
     small = lambda x, most: x.astype(np.int16 if most < 1 << 15 else np.int32)
     seen = small(m.row, p.rows).take(ids), small(m.group, p.classes).take(ids), small(m.leaf, p.leaves).take(ids)
-    g1, g2 = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    gr, g1, g2, t = (np.zeros_like(x) for _ in range(4))
+    g = parts(gr, w)
     order, at = rng.permutation(len(start)), 0
     for step in range(1, steps + 1):
         if at >= len(order):
             order, at = rng.permutation(len(start)), 0
         drawn = order[at : at + batch]
         at += batch
-        g = {k: np.zeros_like(v) for k, v in w.items()}
+        gr[:] = 0
         n = 0
-        for x in range(0, len(drawn), SOME):
-            s = drawn[x : x + SOME]
+        for i in range(0, len(drawn), SOME):
+            s = drawn[i : i + SOME]
             with np.errstate(over="ignore"):
                 n += gradients(w, m, seen, start[s], count[s], before[s], g)
         lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-        for name, gr in g.items():
-            gr /= n
-            g1[name] += 0.1 * (gr - g1[name])
-            g2[name] += 0.01 * (gr * gr - g2[name])
-            w[name] -= (lr * (g1[name] / (1 - 0.9**step)) / (np.sqrt(g2[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        gr /= n
+        g1 += np.multiply(np.subtract(gr, g1, out=t), np.float32(0.1), out=t)
+        gr *= gr
+        g2 += np.multiply(np.subtract(gr, g2, out=t), np.float32(0.01), out=t)
+        np.sqrt(np.multiply(g2, np.float32(1 / (1 - 0.99**step)), out=t), out=t)
+        t += np.float32(1e-8)
+        np.divide(g1, t, out=t)
+        t *= np.float32(lr / (1 - 0.9**step))
+        x -= t
         shut(w, m)
     return w
 
@@ -520,11 +577,7 @@ def packed(w: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def unpacked(x: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k in sorted(like):
-        out[k] = x[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
-    return out
+    return parts(x.astype(np.float32), like)
 
 
 # ---------------------------------------------------------------- distributed

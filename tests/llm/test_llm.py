@@ -584,3 +584,23 @@ def test_lm_gradients():
         by = rng.standard_normal(w[k].shape) * (np.abs(w[k]) < 1e8)
         lose = lambda s, k=k, by=by: (lmscore.score_ids(ids, per, lmscore.model_of(w | {k: w[k] + s * by}, m, p)) * np.log(10)).sum()
         assert (lose(-1e-3) - lose(1e-3)) / 2e-3 == pytest.approx((g[k] * by).sum(), rel=1e-2, abs=1e-2), k
+
+
+def test_lm_words_are_cut_together():
+    """All new words of a run in one call of the vocabulary, with the ids that each word has alone."""
+    import tiktoken
+
+    from strandline.llm._text import Words
+
+    ranks = lmscore.load_ranks(lmscore.Params().tokenizer)
+    alone = tiktoken.Encoding("alone", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    texts = ["Ein Wort, zwei  Wörter\nund\tnoch\r\x0beins", "", "日本語 x\u0085y   a\x00b é 😀", "q" * 3000, " ", "ein Wort"]
+    raw = [t.encode() for t in texts] + [b"cut \xe4\xb8 off \xff", b"\xe4\xb8"]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    tokens, calls = lmscore.Tokens(ranks), []
+    encode = tokens.encode
+    tokens.encode = lambda text: calls.append(text) or encode(text)
+    ids, per, _ = lmscore.sequences_of(Words(data, offsets, 0, len(raw)), tokens)
+    want = [[i for w in b.lower().split() for i in alone(" " + w.decode("utf-8", "replace"))] + [tokens.end] for b in raw]
+    assert ids.tolist() == [i for t in want for i in t] and per.tolist() == [len(t) for t in want]
+    assert len(calls) == 1
